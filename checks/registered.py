@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from checks import gridchecks, matchchecks, scalars, statistics  # noqa: F401
+from checks import detectchecks, gridchecks, matchchecks, scalars, statistics  # noqa: F401

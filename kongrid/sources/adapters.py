@@ -91,3 +91,46 @@ def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("user_id").alias("session"), F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
         F.col("event_type").alias("param"), "value",
     )
+
+
+# ---------------------------------------------------------------- drawn dials
+
+
+def draw_dials(params: DataFrame, size: int = 96) -> DataFrame:
+    """Grey dials drawn from rows (grid_id, cx, cy, r, rotation, ratio, gain, offset).
+
+    A bright rim, twelve markers turned by `rotation` (clockwise) and a bar standing for printed text;
+    `ratio` below 1 squeezes the dial vertically.
+    """
+    from kongrid.functions.geometry import wrap180
+    from kongrid.operators.grids import canvas_cells
+
+    c = canvas_cells(params, F.lit(size), F.lit(size))
+    dx, dy = F.col("x") - F.col("cx"), (F.col("y") - F.col("cy")) / F.col("ratio")
+    d = F.hypot(dx, dy)
+    a = F.degrees(F.atan2(dx, -dy)) - F.col("rotation")
+    t = F.radians("rotation")
+    u, v = dx * F.cos(t) + dy * F.sin(t), dy * F.cos(t) - dx * F.sin(t)
+    r = F.col("r")
+    off = F.abs(wrap180(a * 12) / 12)
+    marker = (d >= r * 0.62) & (d <= r * 0.80) & (off <= 3.0)
+    bar = (F.abs(u) <= r * 0.3) & (v >= r * -0.30) & (v <= r * -0.22)
+    value = F.when(marker | bar, 230.0).when(F.abs(d - r) <= 1.5, 200.0).when(d <= r, 90.0).otherwise(20.0)
+    out = F.greatest(F.lit(0.0), F.least(F.lit(255.0), value * F.col("gain") + F.col("offset")))
+    return c.select("grid_id", "y", "x", out.alias("v"))
+
+
+def dial_params(suppliers: DataFrame, **over) -> DataFrame:
+    """Dial parameters that differ by supplier; keywords replace single columns."""
+    k = F.col("s_suppkey")
+    base = {
+        "grid_id": k.cast("string"), "cx": 48.0 + k % 7 - 3, "cy": 47.0 + k % 5 - 2, "r": 28.0 + k % 4,
+        "rotation": (k % 11 - 5).cast("double"), "ratio": F.lit(1.0), "gain": F.lit(1.0), "offset": F.lit(0.0),
+    }
+    return suppliers.select(*[(F.lit(v) if not hasattr(v, "alias") else v).alias(n) for n, v in {**base, **over}.items()])
+
+
+def supplier_dials(spark: SparkSession, sf_dir: str, size: int = 96, **over) -> tuple[DataFrame, DataFrame]:
+    """(dials, their parameters), one per supplier."""
+    p = dial_params(table(spark, sf_dir, "supplier"), **over)
+    return draw_dials(p, size), p
