@@ -9,9 +9,12 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kongrid.operators.cut import cut
 from kongrid.operators.grids import dims, values_of
 from kongrid.operators.keys import attach_small
 
@@ -111,6 +114,21 @@ def top_hat(grid: DataFrame, width: int = 13, height: int = 5, v: str = "v", key
 # ---------------------------------------------------------------- contrast-limited equalisation
 
 
+def _tile_curves(levels: pd.Series, counts: pd.Series, limit: pd.Series, area: pd.Series) -> pd.Series:
+    """Clipped and cumulated 256-bin histogram of each tile, scaled to 0-255."""
+    out = []
+    for lv, ct, top, n in zip(levels, counts, limit, area, strict=True):
+        h = np.zeros(256, dtype=np.int64)
+        h[np.asarray(lv)] = ct
+        kept = np.minimum(h, top)
+        share, rest = divmod(int(h.sum() - kept.sum()), 256)
+        # the excess is spread evenly; the remainder goes one count each to regularly spaced bins
+        kept += share
+        kept[:: max(1, 256 // max(1, rest))][:rest] += 1
+        out.append(np.cumsum(kept) * 255.0 / n)
+    return pd.Series(out)
+
+
 def tile_equalize(
     grid: DataFrame, clip: float = 2.0, tiles_y: int = 8, tiles_x: int = 8, v: str = "v", keys: list[str] = KEYS
 ) -> DataFrame:
@@ -124,35 +142,18 @@ def tile_equalize(
     g = g.withColumns({"_ty": F.floor(F.col("y") / th), "_tx": F.floor(F.col("x") / tw)})
     level = F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.col(v)))).cast("int")
     hist = g.groupBy(*keys, "_ty", "_tx", level.alias("_l")).agg(F.count("*").alias("_c"))
-    tile = hist.groupBy(*keys, "_ty", "_tx").agg(F.sum("_c").alias("_area"), F.map_from_entries(F.collect_list(F.struct("_l", "_c"))).alias("_h"))
+    tile = hist.groupBy(*keys, "_ty", "_tx").agg(F.sum("_c").alias("_area"), F.sort_array(F.collect_list(F.struct("_l", "_c"))).alias("_h"))
+    curve = F.pandas_udf(_tile_curves, "array<double>")
     limit = F.greatest(F.lit(1), F.floor(F.lit(float(clip)) * F.col("_area") / 256))
-    tile = tile.withColumn("_limit", limit).withColumn(
-        "_h", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("_h", i), F.lit(0).cast("long")))
-    )
-    tile = tile.withColumn("_excess", F.aggregate("_h", F.lit(0).cast("long"), lambda a, c: a + F.greatest(F.lit(0), c - F.col("_limit")).cast("long")))
-    # the excess is spread evenly; the remainder goes one count each to regularly spaced bins
-    rest = F.col("_excess") % 256
-    gap = F.greatest(F.lit(1), F.floor(256 / F.greatest(F.lit(1), rest)))
-    tile = tile.withColumns({"_rest": rest, "_gap": gap})
-    extra = F.transform(
-        "_h",
-        lambda c, i: F.least(c, F.col("_limit")) + F.floor(F.col("_excess") / 256)
-        + F.when((i % F.col("_gap") == 0) & (i / F.col("_gap") < F.col("_rest")), 1).otherwise(0),
-    )
-    curve = F.aggregate(
-        F.col("_e"),
-        F.struct(F.lit(0.0).alias("s"), F.array().cast("array<double>").alias("out")),
-        lambda a, c: F.struct((a["s"] + c).alias("s"), F.array_append(a["out"], a["s"] + c).alias("out")),
-        lambda a: a["out"],
-    )
-    tile = tile.withColumn("_e", extra).withColumn("_curve", F.transform(curve, lambda s: s * 255.0 / F.col("_area")))
+    tile = tile.select(*keys, "_ty", "_tx", curve(F.col("_h._l"), F.col("_h._c"), limit, F.col("_area")).alias("_curve"))
+    tile = cut(tile)
     counts = tile.groupBy(*keys).agg(F.max("_ty").alias("_my"), F.max("_tx").alias("_mx"))
     tile = attach_small(tile.select(*keys, "_ty", "_tx", "_curve"), counts, keys)
 
     # quad q lies between tile centres q-1 and q; at the border both are the border tile
     def quads(t, top):
         return F.array_compact(F.array(
-            F.when(F.lit(True), F.struct(F.col(t).alias("q"), F.lit(1).alias("s"))),
+            F.when(F.col(t) >= 0, F.struct(F.col(t).alias("q"), F.lit(1).alias("s"))),
             F.struct((F.col(t) + 1).alias("q"), F.lit(0).alias("s")),
             F.when(F.col(t) == 0, F.struct(F.col(t).alias("q"), F.lit(0).alias("s"))),
             F.when(F.col(t) == F.col(top), F.struct((F.col(t) + 1).alias("q"), F.lit(1).alias("s"))),
@@ -204,8 +205,6 @@ def edge_cells(
     is written out, so lineage stays short. When `max_rounds` growth steps were not enough the walk
     continues with connected components found by label doubling, so the result is always complete.
     """
-    from kongrid.operators.cut import cut
-
     g = cut(thin_edges(grid, v, keys).select(*grid.columns, "mag", "is_ridge"))
     state = F.when(F.col("is_ridge") & (F.col("mag") > high), 2).when(F.col("is_ridge") & (F.col("mag") > low), 1)
     ridge = g.withColumn("state", state).where(F.col("state").isNotNull()).select(*keys, "y", "x", "state")
@@ -218,8 +217,6 @@ def edge_cells(
 
 def link(strong: DataFrame, weak: DataFrame, keys: list[str] = KEYS, max_rounds: int | None = None) -> DataFrame:
     """All strong cells and every weak cell that touches them through weak cells (8-neighbourhood)."""
-    from kongrid.operators.cut import cut
-
     near = F.sequence(F.lit(-1), F.lit(1))
     cell = [*keys, "y", "x"]
 
@@ -252,8 +249,6 @@ def _components_touching(front: DataFrame, weak: DataFrame, keys: list[str]) ->
     Minimum-label propagation with pointer jumping: the number of rounds grows with the logarithm of
     the chain length, not with the length.
     """
-    from kongrid.operators.cut import cut
-
     cell = [*keys, "y", "x"]
     node = F.xxhash64(*keys, "y", "x")
     all_cells = front.withColumn("_seed", F.lit(True)).unionByName(weak.withColumn("_seed", F.lit(False)))
