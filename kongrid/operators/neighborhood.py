@@ -40,32 +40,33 @@ def gaussian_kernel(sigma: float, radius: int | None = None) -> list[float]:
     return [x / sum(w) for x in w]
 
 
-def convolve_line(df: DataFrame, v: str, axis: str, weights: list[float], keys: list[str] = KEYS, circular: bool = False) -> DataFrame:
-    """Weighted sum along one axis. Mirrored (or wrapped) copies of the border cells extend each line."""
+def convolve_line(df: DataFrame, v: str, axis: str, weights: list[float], keys: list[str] = KEYS) -> DataFrame:
+    """Weighted sum along one axis with mirrored borders: one shuffle, one sort, one window.
+
+    A tap outside the line is read from the mirrored tap inside it. The mirror of offset k lies at
+    2e - k, where e is the number of cells left on that side, so it is always one of the taps already
+    read. A line shorter than the kernel renormalises over the taps it has.
+    """
     radius = len(weights) // 2
-    ends = Window.partitionBy(*keys, OTHER[axis]) if axis in OTHER and OTHER[axis] in df.columns else Window.partitionBy(*keys)
-    pos = F.col(axis)
-    d = df.withColumns({"_first": F.min(axis).over(ends), "_last": F.max(axis).over(ends)})
-    size = F.col("_last") - F.col("_first") + 1
-    if circular:
-        low, high = pos + size, pos - size
-        near_low, near_high = pos - F.col("_first") < radius, F.col("_last") - pos < radius
-    else:
-        low, high = 2 * F.col("_first") - pos, 2 * F.col("_last") - pos
-        near_low = (pos > F.col("_first")) & (pos - F.col("_first") <= radius)
-        near_high = (pos < F.col("_last")) & (F.col("_last") - pos <= radius)
-    places = F.array_compact(F.array(pos, F.when(near_low, low), F.when(near_high, high)))
-    d = d.withColumn("_at", F.explode(places))
-    w = ends.orderBy("_at")
-    taps = [(k, wt) for k, wt in zip(range(-radius, radius + 1), weights, strict=True) if wt != 0.0]
-    # neighbours are read once; a line shorter than the kernel renormalises over the taps it has
-    d = d.withColumns({f"_t{i}": (F.lag(v, -k) if k < 0 else F.lead(v, k)).over(w) if k else F.col(v) for i, (k, _) in enumerate(taps)})
-    d = d.where(F.col("_at") == pos)
-    total = sum((F.coalesce(F.col(f"_t{i}") * wt, F.lit(0.0)) for i, (_, wt) in enumerate(taps)), F.lit(0.0))
-    weight = sum((F.when(F.col(f"_t{i}").isNotNull(), wt).otherwise(0.0) for i, (_, wt) in enumerate(taps)), F.lit(0.0))
-    full = F.col("_last") - F.col("_first") >= radius
-    out = F.when(full, total).otherwise(total / weight)
-    return d.withColumn(v, out).select(*df.columns)
+    w = line(axis, keys)
+    taps = [F.lag(v, -k).over(w) if k < 0 else F.lead(v, k).over(w) if k > 0 else F.col(v).cast("double") for k in range(-radius, radius + 1)]
+    d = df.withColumn("_t", F.array(*taps))
+
+    def left_on(side):
+        inside = [F.get("_t", F.lit(radius + side * k)).isNotNull().cast("int") for k in range(1, radius + 1)]
+        return sum(inside[1:], inside[0])
+
+    d = d.withColumns({"_before": left_on(-1), "_after": left_on(1)})
+    total, weight = F.lit(0.0), F.lit(0.0)
+    for k, wt in zip(range(-radius, radius + 1), weights, strict=True):
+        tap = F.get("_t", F.lit(radius + k))
+        if k:
+            mirror = radius - k + (2 * F.col("_after") if k > 0 else -2 * F.col("_before"))
+            tap = F.coalesce(tap, F.when(mirror >= 0, F.get("_t", mirror)))
+        total = total + F.coalesce(tap * wt, F.lit(0.0))
+        weight = weight + F.when(tap.isNotNull(), wt).otherwise(0.0)
+    short = (F.col("_before") + F.col("_after") < radius)
+    return d.withColumn("_v", F.when(short, total / weight).otherwise(total)).withColumn(v, F.col("_v")).select(*df.columns)
 
 
 def gaussian_blur(grid: DataFrame, sigma: float, radius: int | None = None, v: str = "v", keys: list[str] = KEYS) -> DataFrame:
@@ -165,7 +166,8 @@ def tile_equalize(
     ])
     fy, fx = F.col("y") / th - 0.5, F.col("x") / tw - 0.5
     g = g.withColumns({"_qy": F.floor(fy) + 1, "_qx": F.floor(fx) + 1, "_wy": fy - F.floor(fy), "_wx": fx - F.floor(fx), "_l": level + 1})
-    g = g.join(quad, [*keys, "_qy", "_qx"])
+    # the curves are wide rows: keep them on the shuffled side
+    g = g.join(quad.hint("merge"), [*keys, "_qy", "_qx"])
 
     def look(i, j):
         return F.element_at(f"_c{i}{j}", F.col("_l"))
