@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from checks import detectchecks, gridchecks, matchchecks, plans, scalars, statistics  # noqa: F401
+from checks import detectchecks, gridchecks, matchchecks, plans, scalars, statistics, streams  # noqa: F401
