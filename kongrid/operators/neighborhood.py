@@ -305,22 +305,25 @@ def bilinear_sample(grid: DataFrame, points: DataFrame, keys: list[str] = KEYS,
 
 
 def feature_map(grid: DataFrame, kind: str, keys: list[str] = KEYS, side: int = 512, v: str = "v") -> DataFrame:
-    """Lighting-resistant maps: `gradient`, `text` and `dial`."""
+    """Lighting-resistant maps: `gradient`, `text` and `dial`.
+
+    Steps that need a statistic of the whole grid read it twice, so the map is written before them.
+    """
     from kongrid.operators.grids import area_downsample
     from kongrid.operators.stats import zscore
 
     base = grid.select(*keys, "y", "x", F.col(v).alias("v"))
     if kind == "gradient":
         m = gradient(tile_equalize(base, keys=keys), keys=keys).select(*keys, "y", "x", F.col("mag").alias("v"))
-        return per_grid_max(gaussian_blur(m, 1.0, keys=keys), "v", keys)
+        return per_grid_max(cut(gaussian_blur(m, 1.0, keys=keys)), "v", keys)
     if kind == "text":
         eq = tile_equalize(base, 2.2, 6, 6, keys=keys)
         hat = top_hat(eq.withColumn("t", F.col("v")), v="t", keys=keys)
-        m = per_grid_max(gradient(hat, keys=keys), "mag", keys)
+        m = per_grid_max(cut(gradient(hat, keys=keys)), "mag", keys)
         mixed = m.select(*keys, "y", "x", (F.col("mag") * 0.72 + F.col("t") * 0.28).alias("v"))
         return gaussian_blur(mixed, 0.8, keys=keys)
     if kind == "dial":
-        small = area_downsample(base, side, keys)
+        small = cut(area_downsample(base, side, keys))
         m = gradient(tile_equalize(small, keys=keys), keys=keys, log=True).select(*keys, "y", "x", F.col("mag").alias("v"))
-        return zscore(gaussian_blur(m, 0.65, keys=keys), "v", keys)
+        return zscore(cut(gaussian_blur(m, 0.65, keys=keys)), "v", keys)
     raise ValueError(f"unknown feature map {kind!r}")

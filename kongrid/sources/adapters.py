@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kongrid.operators.cut import cut
 from kongrid.operators.grids import densify
 
 
@@ -133,4 +134,4 @@ def dial_params(suppliers: DataFrame, **over) -> DataFrame:
 def supplier_dials(spark: SparkSession, sf_dir: str, size: int = 96, **over) -> tuple[DataFrame, DataFrame]:
     """(dials, their parameters), one per supplier."""
     p = dial_params(table(spark, sf_dir, "supplier"), **over)
-    return draw_dials(p, size), p
+    return cut(draw_dials(p, size)), p
