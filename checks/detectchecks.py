@@ -6,7 +6,7 @@ known parameters of each supplier's dial were recovered, which the SQL states fr
 
 from pyspark.sql import functions as F
 
-from checks.base import D1, G1, G2, query  # noqa: F401
+from checks.base import G1, G2, query
 from checks.gridchecks import BYTES, blur_sql, byte_grid, sobel_sql
 from checks.statistics import rounded
 from kongrid.functions import geometry as geo

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import COLORS, G1, G2, G3, query
+from checks.base import G1, G2, G3, query
 from checks.statistics import rounded
 from kongrid.functions import color, geometry as geo, regions
 from kongrid.operators import grids, neighborhood as nb, stats

@@ -216,14 +216,14 @@ def fn16(spark, sf):
 @query("fn17_confidence", f"""WITH {LI}, t AS (SELECT *, 0.40 * least(q / 5, 11.0) / 12.0 + 0.20 * greatest(0.0, least(1.0, s / 10 / 0.55)) + 0.40 * greatest(0.0, least(1.0, p / 100 / 0.55)) AS w,
  0.65 * (p / 110) + 0.25 * least(q, 35.0) / 35.0 + 0.10 * greatest(0.0, 1.0 - deg / 8.0) AS m FROM li),
 u AS (SELECT *, greatest(0.0, least(1.0, w)) AS ws, greatest(0.0, least(1.0, m)) AS ms FROM t)
-SELECT l_orderkey, l_linenumber, round(ws, 6) AS watch_score, CASE WHEN ws >= 0.72 THEN 'high' WHEN ws >= 0.48 THEN 'medium' ELSE 'low' END AS watch_label,
+SELECT l_orderkey, l_linenumber, round(ws, 6) AS anchor_score, CASE WHEN ws >= 0.72 THEN 'high' WHEN ws >= 0.48 THEN 'medium' ELSE 'low' END AS anchor_label,
  round(ms, 6) AS match_score, CASE WHEN ms >= 0.68 THEN 'high' WHEN ms >= 0.42 THEN 'medium' ELSE 'low' END AS match_label FROM u""")
 def fn17(spark, sf):
     c = F.col
-    w = gates.confidence_watch(c("q") / 5, F.lit(11.0), c("s") / 10, c("p") / 100)
+    w = gates.confidence_anchor(c("q") / 5, F.lit(11.0), c("s") / 10, c("p") / 100)
     m = gates.confidence_match(c("p") / 110, c("q"), c("deg"))
     d = params(spark, sf).select(*K, w.alias("w"), m.alias("m"))
-    return d.select(*K, F.round("w.score", 6).alias("watch_score"), c("w.label").alias("watch_label"), F.round("m.score", 6).alias("match_score"), c("m.label").alias("match_label"))
+    return d.select(*K, F.round("w.score", 6).alias("anchor_score"), c("w.label").alias("anchor_label"), F.round("m.score", 6).alias("match_score"), c("m.label").alias("match_label"))
 
 
 _M, _P = "(CASE WHEN q < 10 THEN NULL ELSE deg - 4 END)", "(CASE WHEN q > 40 THEN NULL ELSE q - 25 END)"

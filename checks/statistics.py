@@ -2,8 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from checks.base import C1, D1, G1, V1, query, wrap  # noqa: F401
-from kongrid.functions.color import tone_map
+from checks.base import D1, G1, V1, query, wrap
 from kongrid.functions.geometry import wrap180
 from kongrid.functions.regions import in_circle, in_sector, nearest_sector
 from kongrid.operators import grids, stats
@@ -11,9 +10,6 @@ from kongrid.plans.appearance import match_distribution
 from kongrid.sources import adapters as A
 
 
-def r(c, n=6):
-    return F.round(c, n).alias(c if isinstance(c, str) else None)
-
 
 def rounded(df, *cols, n=6):
     return df.withColumns({c: F.round(F.col(c), n) for c in cols})

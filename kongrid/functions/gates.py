@@ -88,7 +88,7 @@ def validate_params(requests: DataFrame, need_format: bool = True) -> DataFrame:
     return df.withColumn("errors", F.array_compact(F.array(*checks)))
 
 
-def confidence_watch(markers_ref, markers_cand, polar_corr, refine_score) -> Column:
+def confidence_anchor(markers_ref, markers_cand, polar_corr, refine_score) -> Column:
     score = clip(
         0.40 * F.least(dbl(markers_ref), dbl(markers_cand)) / 12.0
         + 0.20 * clip(dbl(polar_corr) / 0.55, 0, 1)
