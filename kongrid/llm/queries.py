@@ -10,6 +10,7 @@ from kongrid.llm.common import table
 from kongrid.llm.licenses import scan_licenses
 from kongrid.llm.lines import judge_lines, train_field
 from kongrid.llm.quality import score_quality, train_quality
+from kongrid.llm.repeats import strip_repeats
 from kongrid.llm.sharding import shard_minimax
 from kongrid.llm.simhash import near_duplicates
 
@@ -39,9 +40,13 @@ def op8_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 4)
 
 
+def op9_prefix_free_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return strip_repeats(table(spark, sf_dir, "documents"), 400).drop("spans", "kept")
+
+
 def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"), 0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_pu, op3_line_crf, op4_minimax_shards, op5_license_join, op8_simhash_popcount, op10_arc_to_warc)}
+QUERIES = {f.__name__: f for f in (op1_quality_pu, op3_line_crf, op4_minimax_shards, op5_license_join, op8_simhash_popcount, op9_prefix_free_parse, op10_arc_to_warc)}
 SQL: dict[str, str] = {}
