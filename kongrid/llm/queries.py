@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from kongrid.llm.archives import archive_round_trip
 from kongrid.llm.common import table
+from kongrid.llm.latent import find_leaks
 from kongrid.llm.licenses import scan_licenses
 from kongrid.llm.lines import judge_lines, train_field
 from kongrid.llm.quality import score_quality, train_quality
 from kongrid.llm.repeats import strip_repeats
 from kongrid.llm.sharding import shard_minimax
 from kongrid.llm.simhash import near_duplicates
+from kongrid.llm.urls import filter_urls, label_urls, mine_rules
 
 SHARDS = 16
 
@@ -22,6 +24,11 @@ def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, train_quality(docs, table(spark, sf_dir, "labels")), 0.7)
 
 
+def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return filter_urls(pages, mine_rules(label_urls(pages, table(spark, sf_dir, "labels"))))
+
+
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return judge_lines(docs, train_field(docs, table(spark, sf_dir, "labels"))).drop("labels")
@@ -36,6 +43,10 @@ def op5_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op7_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), 4)
 
@@ -48,5 +59,5 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"), 0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_pu, op3_line_crf, op4_minimax_shards, op5_license_join, op8_simhash_popcount, op9_prefix_free_parse, op10_arc_to_warc)}
+QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_url_rules, op3_line_crf, op4_minimax_shards, op5_license_join, op7_latent_leaks, op8_simhash_popcount, op9_prefix_free_parse, op10_arc_to_warc)}
 SQL: dict[str, str] = {}
