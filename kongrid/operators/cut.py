@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -27,4 +28,20 @@ def cut(df: DataFrame) -> DataFrame:
     """Write `df` once and read it back: no recomputation, safe when executors are lost, and of known size."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/kongrid-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._cut_path = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `cut` wrote and that nothing reads any more, and let Spark remove the shuffle files of finished steps.
+
+    Spark frees shuffle files once the driver's garbage collector has dropped their plans, so it is asked to run.
+    """
+    for table in tables:
+        spark = table.sparkSession
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(table._cut_path)
+        where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
