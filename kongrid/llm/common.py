@@ -47,6 +47,20 @@ def map_rows(df: DataFrame, kernel: Callable[[list[list]], list[list]], schema:
     return df.mapInArrow(run, target)
 
 
+def filter_rows(df: DataFrame, text: Column, keep: Callable[[list[bytes]], list[bool]]) -> DataFrame:
+    """The rows of `df`, all columns as they are, for whose `text` (bytes) the kernel says True."""
+    n = len(df.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                mask = pa.array(keep(part.column(n).to_pylist()), pa.bool_())
+                yield pa.RecordBatch.from_arrays(part.columns[:n], names=batch.schema.names[:n]).filter(mask)
+
+    return df.withColumn("_filter_text", text).mapInArrow(run, df.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """True where crc32 of the id's text has remainder 2 by 4: labels of such rows are never learnt from."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2

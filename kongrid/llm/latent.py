@@ -11,13 +11,14 @@ must hold enough of the item, and of its last part (the answer).
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kongrid.llm.common import map_rows, utf8
+from kongrid.llm.common import filter_rows, map_rows, utf8
 
 BLOCK = 32
 # The benchmark goes to every task; its items and the terms they bring are bounded by this.
@@ -189,23 +190,65 @@ def latent_basis(z: np.ndarray, rank: int, seed: int) -> np.ndarray:
     return np.linalg.svd(root, full_matrices=False)[0][:, :rank]
 
 
-def find_leaks(
+@dataclass
+class LeakFinder:
+    """What a task needs to search texts for items: made once per corpus, the size of the benchmark's terms times the rank."""
+
+    bench: Benchmark
+    vectors: np.ndarray  # terms x rank, weighed by IDF
+    unit: np.ndarray  # items x rank
+    norm: np.ndarray
+    cosine: float
+    coverage: float
+    sequence: float
+    answer: float
+
+    def search(self, texts: list[bytes]) -> list[list]:
+        """Per text: contaminated, item, share of the item in sequence, cosine, candidates."""
+        n = len(texts)
+        out = [[False] * n, [None] * n, [None] * n, [None] * n, [0] * n]
+        if not self.bench.ids:
+            return out
+        tokens, term, block, blocks = _hits(texts, self.bench.terms)
+        if not len(term):
+            return out
+        p = _passages(_sums(self.vectors[term], block, int(blocks.sum())), blocks)
+        first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
+        size = np.linalg.norm(p, axis=1)
+        far = np.flatnonzero(size >= self.coverage * self.norm.min())  # no shorter one can reach the coverage of any item
+        for a in range(0, len(far), 4096):
+            at_passage = far[a : a + 4096]
+            along = p[at_passage] @ self.unit.T
+            which, items = np.nonzero((along >= self.cosine * size[at_passage, None]) & (along >= self.coverage * self.norm))
+            for row, i in zip(which.tolist(), items.tolist()):
+                j = int(at_passage[row])
+                k = int(np.searchsorted(first, j, "right")) - 1
+                item, at = self.bench.tokens[i], (j - int(first[k])) * BLOCK
+                tail = -(-len(item) // 3)
+                whole, end = lcs(item, tokens[k][max(0, at - len(item)) : at + 2 * BLOCK + len(item)], tail)
+                out[4][k] += 1
+                share = whole / len(item)
+                if share >= self.sequence and end >= self.answer * tail and (out[2][k] is None or share > out[2][k]):
+                    out[0][k], out[1][k], out[2][k], out[3][k] = True, self.bench.ids[i], share, float(along[row, i] / size[j])
+        return out
+
+
+def leak_finder(
     docs: DataFrame, benchmark: DataFrame, rank: int = 256, oversample: int = 32, cosine: float = 0.3, coverage: float = 0.5, sequence: float = 0.7, answer: float = 0.5,
-    common: float = 0.002, least: int = 6, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
-) -> DataFrame:
-    """One row per input row: id, contaminated, item_id, sequence_share, cosine, candidates.
+    common: float = 0.002, least: int = 6, seed: int = 7, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text",
+) -> LeakFinder:
+    """Latent space of the corpus for a benchmark of at most MOST_ITEMS items.
 
-    `candidates` counts the (passage, item) pairs that were checked; item, share and cosine are those of the best pair that
-    passes both checks (null without one), ties to the smaller item position. Null, empty and wordless texts are clean; items
-    without a word match nothing; without items every row is clean. Repeated rows give equal rows; other columns are ignored.
+    `common` and `least` say which terms count, `cosine` and `coverage` which (passage, item) pairs are checked, `sequence`
+    and `answer` which shares of the item and of its last third must stand in the passage in order.
     """
     rows = benchmark.select(item_col, utf8(item_text_col).alias("t")).where(F.col(item_col).isNotNull()).distinct().orderBy(item_col, "t").limit(MOST_ITEMS + 1).collect()
     if len(rows) > MOST_ITEMS:
         raise ValueError(f"more than {MOST_ITEMS} benchmark items")
     bench = Benchmark([(r[0], bytes(r[1])) for r in rows])
-    kinds = f"`{id_col}` {dict(docs.dtypes)[id_col]}, contaminated boolean, item_id {dict(benchmark.dtypes)[item_col]}, sequence_share double, cosine double, candidates long"
     if not bench.ids:
-        return docs.select(id_col, F.lit(False).alias("contaminated"), F.lit(None).cast(dict(benchmark.dtypes)[item_col]).alias("item_id"), F.lit(None).cast("double").alias("sequence_share"), F.lit(None).cast("double").alias("cosine"), F.lit(0).cast("long").alias("candidates"))
+        none = np.zeros((0, 0), np.float32)
+        return LeakFinder(bench, none, none, none, cosine, coverage, sequence, answer)
     df, passages = passage_counts(docs, bench, text_col)
     df = bench.narrow(df, passages, common, least)
     idf = np.log((passages + 1) / (df + 1)) + 1
@@ -214,32 +257,22 @@ def find_leaks(
     norm = np.linalg.norm(q, axis=1)
     unit = (q / np.maximum(norm, 1e-12)[:, None]).astype(np.float32)
     norm = np.where(norm > 1e-9, norm, np.inf).astype(np.float32)
-    vectors, least_norm = (idf[:, None] * basis).astype(np.float32), float(coverage * norm.min())
+    return LeakFinder(bench, (idf[:, None] * basis).astype(np.float32), unit, norm, cosine, coverage, sequence, answer)
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", **parameters) -> DataFrame:
+    """One row per input row: id, contaminated, item_id, sequence_share, cosine, candidates; parameters as of `leak_finder`.
+
+    `candidates` counts the (passage, item) pairs that were checked; item, share and cosine are those of the best pair that
+    passes both checks (null without one), ties to the smaller item position. Null, empty and wordless texts are clean; items
+    without a word match nothing; without items every row is clean. Repeated rows give equal rows; other columns are ignored.
+    """
+    finder = leak_finder(docs, benchmark, text_col=text_col, item_col=item_col, **parameters)
+    kinds = f"`{id_col}` {dict(docs.dtypes)[id_col]}, contaminated boolean, item_id {dict(benchmark.dtypes)[item_col]}, sequence_share double, cosine double, candidates long"
+    return map_rows(docs.select(id_col, utf8(text_col).alias("_text")), lambda columns: [columns[0], *finder.search(columns[1])], kinds)
 
-    def search(columns):
-        keys, texts = columns
-        out = [keys, [False] * len(keys), [None] * len(keys), [None] * len(keys), [None] * len(keys), [0] * len(keys)]
-        tokens, term, block, blocks = _hits(texts, bench.terms)
-        if not len(term):
-            return out
-        p = _passages(_sums(vectors[term], block, int(blocks.sum())), blocks)
-        first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
-        size = np.linalg.norm(p, axis=1)
-        far = np.flatnonzero(size >= least_norm)  # no shorter one can reach the coverage of any item
-        for a in range(0, len(far), 4096):
-            at_passage = far[a : a + 4096]
-            along = p[at_passage] @ unit.T
-            which, items = np.nonzero((along >= cosine * size[at_passage, None]) & (along >= coverage * norm))
-            for row, i in zip(which.tolist(), items.tolist()):
-                j = int(at_passage[row])
-                k = int(np.searchsorted(first, j, "right")) - 1
-                item, at = bench.tokens[i], (j - int(first[k])) * BLOCK
-                tail = -(-len(item) // 3)
-                whole, end = lcs(item, tokens[k][max(0, at - len(item)) : at + 2 * BLOCK + len(item)], tail)
-                out[5][k] += 1
-                share = whole / len(item)
-                if share >= sequence and end >= answer * tail and (out[3][k] is None or share > out[3][k]):
-                    out[1][k], out[2][k], out[3][k], out[4][k] = True, bench.ids[i], share, float(along[row, i] / size[j])
-        return out
 
-    return map_rows(docs.select(id_col, utf8(text_col).alias("_text")), search, kinds)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **parameters) -> DataFrame:
+    """The documents, with all their columns, that hold no benchmark item."""
+    finder = leak_finder(docs, benchmark, text_col=text_col, **parameters)
+    return filter_rows(docs, utf8(text_col), lambda texts: [not x for x in finder.search(texts)[0]])

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kongrid.llm.common import held_out, labelled, map_rows, utf8
+from kongrid.llm.common import filter_rows, held_out, labelled, map_rows, utf8
 
 # Bounds of the training sample.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -141,3 +141,8 @@ def score_quality(docs: DataFrame, model: PuModel, threshold: float = 0.7, id_co
 
     scored = map_rows(docs.select(id_col, utf8(text_col).alias("_text")), score, f"`{id_col}` {dict(docs.dtypes)[id_col]}, score double")
     return scored.select(id_col, held_out(F.col(id_col)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: PuModel, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, that score at least the threshold."""
+    return filter_rows(docs, utf8(text_col), lambda texts: (model.score(np.array([features(t) for t in texts])) >= threshold).tolist())

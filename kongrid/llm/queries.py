@@ -10,6 +10,7 @@ from kongrid.llm.common import table
 from kongrid.llm.latent import find_leaks
 from kongrid.llm.licenses import scan_licenses
 from kongrid.llm.lines import judge_lines, train_field
+from kongrid.llm.mixing import fit_mixture, label_domains, mixing_rates
 from kongrid.llm.quality import score_quality, train_quality
 from kongrid.llm.repeats import strip_repeats
 from kongrid.llm.sharding import shard_minimax
@@ -17,6 +18,8 @@ from kongrid.llm.simhash import near_duplicates
 from kongrid.llm.urls import filter_urls, label_urls, mine_rules
 
 SHARDS = 16
+# Target weights of tokens by domain; the first one's tokens set the scale.
+TARGETS = {"clean": 0.97, "junk": 0.02, "toxic": 0.01}
 
 
 def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +46,11 @@ def op5_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents")).drop("matches")
 
 
+def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing_rates(docs, fit_mixture(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS))
+
+
 def op7_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -59,5 +67,5 @@ def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"), 0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_url_rules, op3_line_crf, op4_minimax_shards, op5_license_join, op7_latent_leaks, op8_simhash_popcount, op9_prefix_free_parse, op10_arc_to_warc)}
+QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_url_rules, op3_line_crf, op4_minimax_shards, op5_license_join, op6_soft_mixing, op7_latent_leaks, op8_simhash_popcount, op9_prefix_free_parse, op10_arc_to_warc)}
 SQL: dict[str, str] = {}

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kongrid.llm.common import map_rows, utf8
-from kongrid.operators.cut import cut
+from kongrid.operators.cut import cut, discard
 from kongrid.operators.keys import attach
 
 LENGTH = 400
@@ -170,12 +170,16 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
     parse = cut(_parse(docs, length, window))
     one = [F.first(c).alias(c) for c in ("k1", "k2", "lo", "n")]
     classes = cut(parse.groupBy("core", "cls").agg(F.count("*").alias("times"), *one))
-    whole = attach(parse, classes.where("times > 1").select("core", "cls", "times"), ["core", "cls"], "times").select("k1", "k2", "lo", "n")
+    whole = cut(attach(parse, classes.where("times > 1").select("core", "cls", "times"), ["core", "cls"], "times").select("k1", "k2", "lo", "n"))
+    discard(parse)
     shared = classes.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    opened = attach(classes, shared, ["core"], "kinds").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n", "core", (F.col("times") == 1).alias("single"))).alias("open"))
-    strings = cut(_strings(opened.join(docs, ["k1", "k2"]).select("k1", "k2", "open", "text"), length))
-    twice = strings.groupBy("h", "core").agg(F.count("*").alias("times")).where("times > 1")
-    single = attach(strings.where("single"), twice, ["h", "core"], "times").select("k1", "k2", "lo", F.lit(1).alias("n"))
+    opened = cut(attach(classes, shared, ["core"], "kinds").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n", "core", (F.col("times") == 1).alias("single"))).alias("open")))
+    discard(classes)
+    strings = cut(_strings(opened.hint("shuffle_hash").join(docs, ["k1", "k2"]).select("k1", "k2", "open", "text"), length))
+    discard(opened)
+    twice = cut(strings.groupBy("h", "core").agg(F.count("*").alias("times")).where("times > 1"))
+    single = cut(attach(strings.where("single"), twice, ["h", "core"], "times").select("k1", "k2", "lo", F.lit(1).alias("n")))
+    discard(strings, twice)
     return whole.unionByName(single)
 
 
@@ -192,7 +196,7 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, i
     keyed = rows.select(id_col, F.xxhash64(F.col(id_col), "text").alias("k1"), F.xxhash64("text", F.col(id_col), F.lit(1)).alias("k2"), "text")
     runs = repeated_starts(keyed.select("k1", "k2", "text"), length, window)
     per = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n")).alias("_runs"))
-    joined = keyed.join(per, ["k1", "k2"], "left").select(id_col, "text", "_runs")
+    joined = keyed.join(per.hint("shuffle_hash"), ["k1", "k2"], "left").select(id_col, "text", "_runs")
 
     def strip(columns):
         out = [[] for _ in range(7)]

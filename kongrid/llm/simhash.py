@@ -28,10 +28,12 @@ SEED = 42
 SEGMENTS = 32
 # Two random two-bit segments have the same bit count with probability 3/8.
 BITS_PER_SEGMENT = -log2(3 / 8)
+# Unrelated members that a cell may have on average.
+OCCUPANCY = 10
 # Members of a cell that are compared as one unit; larger cells are split into units by pairs of parts.
 UNIT = 4096
 # Runs of up to this many members are compared pair by pair; longer ones by growing trees.
-SHORT = 16
+SHORT = 32
 
 _LANES = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).copy().view(np.uint64)[:, 0]
 
@@ -74,9 +76,9 @@ def fingerprints(docs: DataFrame, width: int = WIDTH, id_col: str = "doc_id", te
 
 
 def block_count(distinct: int, radius: int) -> int:
-    """Fewest blocks for which a fingerprint meets less than about one unrelated one over all its cells."""
+    """Fewest blocks for which a cell holds few unrelated fingerprints: comparing them must not cost more than making the row."""
     for m in range(radius + 2, SEGMENTS + 1):
-        if comb(m, radius) * distinct * 2 ** (-BITS_PER_SEGMENT * SEGMENTS * (m - radius) / m) < 1 or comb(m, radius) > 1000:
+        if distinct * 2 ** (-BITS_PER_SEGMENT * SEGMENTS * (m - radius) / m) < OCCUPANCY or comb(m, radius) > 1000:
             return m
     return SEGMENTS
 
@@ -162,7 +164,8 @@ def near_links(codes: DataFrame, radius: int = 4) -> DataFrame:
     # Bit counts of the two-bit segments, packed: a half adder over the bits of each segment.
     low, x, y = F.lit(0x5555555555555555), F.col("fp"), F.shiftrightunsigned("fp", 1)
     counts = F.shiftleft(x.bitwiseAND(y).bitwiseAND(low), 1).bitwiseOR(x.bitwiseXOR(y).bitwiseAND(low))
-    cells = codes.select("fp", counts.alias("_v"), F.posexplode(masks).alias("grid", "_m")).select("grid", F.col("_v").bitwiseAND(F.col("_m")).alias("cell"), "fp")
+    spread = codes.repartition(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    cells = spread.select("fp", counts.alias("_v"), F.posexplode(masks).alias("grid", "_m")).select("grid", F.col("_v").bitwiseAND(F.col("_m")).alias("cell"), "fp")
     hot = cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where(F.col("n") > UNIT)
     parts = F.ceil(F.col("n") / UNIT).cast("int")
     whole = attach_left(cells, hot, ["grid", "cell"], "n").withColumn("_parts", F.coalesce(parts, F.lit(1)))
