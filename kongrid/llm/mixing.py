@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 from kongrid.llm.common import held_out
 from kongrid.operators.cut import cut
 
-BUCKETS = 4096
+BUCKETS = 16_384
 # Standard errors by which a bucket's log odds are pulled to 0.
-SIGMAS = 2.5
+SIGMAS = 2.0
 # Labelled documents that the posterior model is counted from.
 LABELLED = 20_000
 # Posterior log odds stay within this.
@@ -67,16 +67,23 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], rows:
     n_docs = {r["domain"]: r["n"] for r in joined.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     of = [[counts.get((d, b), 0) for b in range(BUCKETS)] for d in domains]
     prior = [log(n_docs.get(d, 0) + 0.5) for d in domains]
-    return DomainModel(domains, [p - prior[0] for p in prior], [[_log_odds(n, sum(row), m, sum(of[0])) for n, m in zip(row, of[0])] for row in of])
+    return DomainModel(domains, [p - prior[0] for p in prior], [_log_odds(row, of[0]) for row in of])
 
 
-def _log_odds(n: int, total: int, base: int, base_total: int) -> float:
-    """Log ratio of a bucket's shares in a domain and in the first one, pulled to 0 by what chance may explain."""
+def _log_odds(counts: list[int], base: list[int]) -> list[float]:
+    """Log ratio of each bucket's share in a domain to that in the first one.
+
+    Ratios that chance may explain are replaced by the ratio of all such buckets together, so that a text without any telling
+    word counts as what most such texts are; the others are pulled in by their standard errors.
+    """
+    total, base_total = sum(counts), sum(base)
     if not total or not base_total:
-        return 0.0
-    odds = log((n + 0.5) / (total + 1)) - log((base + 0.5) / (base_total + 1))
-    chance = SIGMAS * (1 / (n + 0.5) + 1 / (base + 0.5)) ** 0.5
-    return round(copysign(max(0.0, abs(odds) - chance), odds), 4)
+        return [0.0] * len(counts)
+    odds = [log((n + 0.5) / (total + 1)) - log((m + 0.5) / (base_total + 1)) for n, m in zip(counts, base)]
+    chance = [SIGMAS * (1 / (n + 0.5) + 1 / (m + 0.5)) ** 0.5 for n, m in zip(counts, base)]
+    plain = [abs(x) <= c for x, c in zip(odds, chance)]
+    rest = log((sum(n for n, p in zip(counts, plain) if p) + 0.5) / (total + 1)) - log((sum(m for m, p in zip(base, plain) if p) + 0.5) / (base_total + 1))
+    return [round(rest if p else copysign(abs(x) - c, x), 5) for x, c, p in zip(odds, chance, plain)]
 
 
 def rate(steps: list[list[float]]) -> Column:
