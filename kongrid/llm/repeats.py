@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ from kongrid.operators.keys import attach
 LENGTH = 400
 WINDOW = 256
 ROLL = 8
+# Phrases of one core that are compared in one task.
+FEW = 256
 # Bytes that a kernel works on at a time; longer texts are cut into pieces that overlap by LENGTH - 1.
 PIECE = 1 << 20
 
@@ -127,29 +130,70 @@ def _parse(docs: DataFrame, length: int, window: int) -> DataFrame:
 
 
 def _strings(rows: DataFrame, length: int) -> DataFrame:
-    """Hash of every string of the opened phrases (column `open`: lo, n, core, single) of each text."""
+    """Hashes of all strings of each opened phrase (column `open`: lo, n, core, single, kinds) of each text."""
 
     def make(columns):
-        out = [[] for _ in range(6)]
+        out = [[] for _ in range(7)]
         for k1, k2, opened, text in zip(*columns):
             for offset in range(0, max(0, len(text) - length + 1), PIECE):
                 size = min(PIECE, len(text) - length + 1 - offset)
-                mine = [(max(o["lo"], offset), min(o["lo"] + o["n"], offset + size), o["core"], o["single"]) for o in opened]
+                mine = [(max(o["lo"], offset), min(o["lo"] + o["n"], offset + size), o) for o in opened]
                 mine = [x for x in mine if x[0] < x[1]]
                 if not mine:
                     continue
                 buffer = Buffer(text[offset : offset + size + length - 1])
-                at = np.concatenate([np.arange(a, b) for a, b, *_ in mine]) - offset
-                counts = [b - a for a, b, *_ in mine]
-                out[0].append(buffer.span(at, at + length).view(np.int64))
-                out[1].append(np.repeat(np.array([x[2] for x in mine], np.int64), counts))
-                out[2].append(np.full(len(at), k1, np.int64))
-                out[3].append(np.full(len(at), k2, np.int64))
-                out[4].append(at + offset)
-                out[5].append(np.repeat(np.array([x[3] for x in mine], bool), counts))
-        return [np.concatenate(c) if c else [] for c in out]
+                for start, end, o in mine:
+                    at = np.arange(start - offset, end - offset)
+                    row = (o["core"], k1, k2, start, o["single"], o["kinds"], buffer.span(at, at + length).view(np.int64))
+                    for column, value in zip(out, row):
+                        column.append(value)
+        return out
+
+    return map_rows(rows, make, "core long, k1 long, k2 long, lo int, single boolean, kinds long, strings array<long>")
+
+
+def _shared_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs of starts in phrases of single classes whose strings occur twice or more among the phrases of their core.
+
+    Batches are sorted by core; a core has at most FEW phrases, so what is held over has that bound.
+    """
 
-    return map_rows(rows, make, "h long, core long, k1 long, k2 long, lo int, single boolean")
+    def compare(rows: pa.Table) -> pa.RecordBatch:
+        core, k1, k2, lo = (rows[c].to_numpy() for c in ("core", "k1", "k2", "lo"))
+        single = rows["single"].to_numpy()
+        lists = rows["strings"].combine_chunks()
+        counts = np.diff(lists.offsets.to_numpy())
+        h, phrase = lists.flatten().to_numpy(), np.repeat(np.arange(len(core)), counts)
+        group = np.cumsum(np.concatenate([[0], core[1:] != core[:-1]]))[phrase]
+        order = np.lexsort((h, group))
+        same = (h[order][1:] == h[order][:-1]) & (group[order][1:] == group[order][:-1])
+        twice = np.zeros(len(h), bool)
+        twice[order[1:][same]] = True
+        twice[order[:-1][same]] = True
+        twice &= single[phrase]
+        at = np.flatnonzero(twice)
+        new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (phrase[at[1:]] != phrase[at[:-1]])]) if len(at) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        begin, n = at[first], np.diff(np.append(first, len(at)))
+        own = phrase[begin]
+        start = lo[own] + begin - (np.cumsum(counts) - counts)[own]
+        return pa.RecordBatch.from_arrays([pa.array(k1[own]), pa.array(k2[own]), pa.array(start, pa.int32()), pa.array(n, pa.int32())], names=["k1", "k2", "lo", "n"])
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        core = batch.column(0).to_numpy()
+        last = int(np.searchsorted(np.cumsum(np.concatenate([[0], core[1:] != core[:-1]])), (core[1:] != core[:-1]).sum()))
+        if held and core[0] != held[0].column(0)[0].as_py():
+            yield compare(pa.Table.from_batches(held))
+            held = []
+        if last:
+            yield compare(pa.Table.from_batches([*held, batch.slice(0, last)]))
+            held = []
+        held.append(batch.slice(last))
+    if held:
+        yield compare(pa.Table.from_batches(held))
 
 
 def covered(starts: np.ndarray, counts: np.ndarray, size: int, length: int) -> list[tuple[int, int]]:
@@ -173,13 +217,19 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
     whole = cut(attach(parse, classes.where("times > 1").select("core", "cls", "times"), ["core", "cls"], "times").select("k1", "k2", "lo", "n"))
     discard(parse)
     shared = classes.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
-    opened = cut(attach(classes, shared, ["core"], "kinds").groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n", "core", (F.col("times") == 1).alias("single"))).alias("open")))
+    phrase = F.struct("lo", "n", "core", (F.col("times") == 1).alias("single"), "kinds")
+    opened = cut(attach(classes, shared, ["core"], "kinds").groupBy("k1", "k2").agg(F.collect_list(phrase).alias("open")))
     discard(classes)
     strings = cut(_strings(opened.hint("shuffle_hash").join(docs, ["k1", "k2"]).select("k1", "k2", "open", "text"), length))
     discard(opened)
-    twice = cut(strings.groupBy("h", "core").agg(F.count("*").alias("times")).where("times > 1"))
-    single = cut(attach(strings.where("single"), twice, ["h", "core"], "times").select("k1", "k2", "lo", F.lit(1).alias("n")))
+    # Cores with few phrases are compared as they lie; a core of many is counted string by string, which no task holds whole.
+    few = strings.where(F.col("kinds") <= FEW).select("core", "k1", "k2", "lo", "single", "strings").repartition("core").sortWithinPartitions("core")
+    near = cut(few.mapInArrow(_shared_strings, "k1 long, k2 long, lo int, n int"))
+    many = strings.where(F.col("kinds") > FEW).select("core", "k1", "k2", "lo", "single", F.posexplode("strings").alias("at", "h"))
+    twice = cut(many.groupBy("h", "core").agg(F.count("*").alias("times")).where("times > 1"))
+    far = cut(attach(many.where("single"), twice, ["h", "core"], "times").select("k1", "k2", (F.col("lo") + F.col("at")).alias("lo"), F.lit(1).alias("n")))
     discard(strings, twice)
+    single = near.unionByName(far)
     return whole.unionByName(single)
 
 

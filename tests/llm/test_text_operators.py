@@ -352,8 +352,9 @@ def brute_strip(texts, length):
     return out
 
 
-@pytest.mark.parametrize("length,window", [(400, 256), (40, 16)])
-def test_strip_repeats(docs, empty, length, window):
+@pytest.mark.parametrize("length,window,few", [(400, 256, 256), (40, 16, 256), (40, 16, 2)])
+def test_strip_repeats(docs, empty, monkeypatch, length, window, few):
+    monkeypatch.setattr(repeats, "FEW", few)
     got = rows_of(repeats.strip_repeats(docs, length, window), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got == sorted(((k, *r) for (k, _), r in zip(AWKWARD, brute_strip([data(t) for _, t in AWKWARD], length))), key=repr)
     assert repeats.strip_repeats(empty, length, window).count() == 0
