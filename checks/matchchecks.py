@@ -126,11 +126,28 @@ def ag11(spark, sf):
         F.when(off, 40 + j).otherwise(0).alias("_dx"), F.when(off, 25 + 2 * j).otherwise(0).alias("_dy"),
     )
     m = m.withColumns({"rx": a * F.col("cx") + b * F.col("cy") + 31 + F.col("_dx"), "ry": -b * F.col("cx") + a * F.col("cy") - 12 - F.col("_dy")}).drop("_dx", "_dy")
-    c = consensus.consensus_transform(m, trials=64)
+    c = consensus.consensus_transform(m)
     c = c.select("pair_id", "matches", "inliers", "inlier_ratio", geo.scale_of(F.col("m")).alias("scale"), geo.rotation_of(F.col("m")).alias("rotation"), "median_error", "status", "reason")
     return rounded(c, "inlier_ratio", "scale", "rotation", "median_error")
 
 
+# per return flag and status, every line follows one shift; 64 more matches per pair are closer and follow nothing
+@query("ag11_close_outliers", """SELECT l_returnflag || l_linestatus AS pair_id, count(*) + 64 AS matches, count(*) AS inliers, CAST(1 AS DOUBLE) AS scale, CAST(0 AS DOUBLE) AS rotation, CAST(0 AS DOUBLE) AS median_error,
+ 200 AS status FROM lineitem GROUP BY 1""")
+def ag11_close(spark, sf):
+    li = A.table(spark, sf, "lineitem").select(
+        F.concat("l_returnflag", "l_linestatus").alias("pair_id"), (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("cand_kp"), F.col("l_partkey").alias("ref_kp"), F.lit(50).alias("distance"),
+        (F.col("l_quantity") * 13).alias("cx"), (F.col("l_extendedprice") / 77.0).alias("cy"))
+    good = li.withColumns({"rx": F.col("cx") + 31, "ry": F.col("cy") - 12})
+    k = F.explode(F.sequence(F.lit(1), F.lit(64)))
+    bad = li.select("pair_id").distinct().select("pair_id", k.alias("k")).select(
+        "pair_id", (-F.col("k")).cast("long").alias("cand_kp"), F.col("k").cast("long").alias("ref_kp"), F.lit(1).alias("distance"), (F.col("k") * 9.0).alias("cx"), (F.col("k") * F.col("k") % 97 * 5.0).alias("cy"),
+        (5000 + F.col("k") * F.col("k") * 40.0).alias("rx"), (9000 - F.col("k") * 130.0).alias("ry"))
+    c = consensus.consensus_transform(good.unionByName(bad))
+    c = c.select("pair_id", "matches", "inliers", geo.scale_of(F.col("m")).alias("scale"), geo.rotation_of(F.col("m")).alias("rotation"), "median_error", "status")
+    return rounded(c, "scale", "rotation", "median_error")
+
+
 # every embedding matched with a turned, scaled and bit-flipped copy of itself, one pair per label
 @query("pl2_align_by_descriptors", """SELECT CAST(label AS VARCHAR) AS pair_id, least(count(*), 100000) AS matches, count(*) AS inliers, CAST(1.25 AS DOUBLE) AS scale, CAST(-9 AS DOUBLE) AS rotation,
  'high' AS confidence, 200 AS status, 'ok' AS reason FROM embeddings GROUP BY label""")
@@ -143,5 +160,5 @@ def pl2(spark, sf):
     flipped = F.transform("desc", lambda w: w.bitwiseXOR(F.lit(5).cast("long")))
     ref = e.select(F.concat(F.lit("r"), lab).alias("grid_id"), "kp_id", px.alias("x"), py.alias("y"), flipped.alias("desc"))
     pairs = e.select(lab.alias("pair_id"), F.concat(F.lit("r"), lab).alias("ref_id"), F.concat(F.lit("c"), lab).alias("cand_id")).distinct()
-    out = align_by_descriptors(cand.unionByName(ref), pairs, trials=64)
+    out = align_by_descriptors(cand.unionByName(ref), pairs)
     return rounded(out.select("pair_id", "matches", "inliers", "scale", "rotation", "confidence", "status", "reason"), "scale", "rotation")
