@@ -167,7 +167,7 @@ def patch_pairs(spark, sf):
     return g, pairs
 
 
-@query("jn2_compare_cells", f"""WITH {G2}, r AS (SELECT * FROM g2 WHERE grid_id % 2 = 0 AND x < 7), c AS (SELECT * FROM g2 WHERE grid_id % 2 = 1 AND x > 0),
+@query("jn2_compare_cells", f"""WITH {G2}, r AS (SELECT * FROM g2 WHERE grid_id % 2 = 0), c AS (SELECT grid_id, y, x + 1 AS x, v FROM g2 WHERE grid_id % 2 = 1),
 r2 AS (SELECT grid_id || '|' || (grid_id + 1) AS pair_id, y, x, v FROM r WHERE grid_id + 1 IN (SELECT vec_id FROM embeddings)),
 c2 AS (SELECT (grid_id - 1) || '|' || grid_id AS pair_id, y, x, v FROM c)
 SELECT coalesce(r2.pair_id, c2.pair_id) AS pair_id, coalesce(r2.y, c2.y) AS y, coalesce(r2.x, c2.x) AS x, r2.v AS ref_v, c2.v AS cand_v,
@@ -175,7 +175,8 @@ SELECT coalesce(r2.pair_id, c2.pair_id) AS pair_id, coalesce(r2.y, c2.y) AS y, c
 FROM r2 FULL JOIN c2 ON c2.pair_id = r2.pair_id AND c2.y = r2.y AND c2.x = r2.x""")
 def jn2(spark, sf):
     g, pairs = patch_pairs(spark, sf)
-    c = grids.compare_cells(g.where("x < 7"), g.where("x > 0"), pairs)
+    # candidates lie one column to the right, so each side has a column that the other lacks
+    c = grids.compare_cells(g, g.withColumn("x", F.col("x") + 1), pairs)
     return c.withColumns({
         "diff": F.round(color.abs_diff(F.col("ref_v"), F.col("cand_v")), 6),
         "overlay": F.round(color.blend(F.col("ref_v"), F.col("cand_v"), 0.5), 6),

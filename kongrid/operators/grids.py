@@ -20,9 +20,12 @@ def dims(grid: DataFrame, keys: list[str] = ["grid_id"]) -> DataFrame:
 
 
 def canvas_cells(frames: DataFrame, height: Column, width: Column) -> DataFrame:
-    """One row per cell of a frame; rows are spread by explosion, not by a join."""
-    rows = frames.withColumn("y", F.explode(F.sequence(F.lit(0), (height - 1).cast("int"))))
-    return rows.withColumn("x", F.explode(F.sequence(F.lit(0), (width - 1).cast("int"))))
+    """One row per cell of a frame. Rows of cells are dealt to all tasks before columns are added, so that few frames, or
+    frames that lie in one partition, still fill the cluster."""
+    rows = frames.withColumns({"y": F.explode(F.sequence(F.lit(0), (height - 1).cast("int"))), "_canvas_w": width})
+    tasks = int(frames.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartition(tasks, F.xxhash64(*frames.columns, "y"))
+    return rows.withColumn("x", F.explode(F.sequence(F.lit(0), (F.col("_canvas_w") - 1).cast("int")))).drop("_canvas_w")
 
 
 def densify(cells: DataFrame, height, width, fill: float, keys: list[str] = ["grid_id"], ids: DataFrame | None = None) -> DataFrame:
