@@ -7,12 +7,14 @@ from pyspark.sql import functions as F
 
 from kongrid.llm.common import attach_left
 from kongrid.operators.cut import cut
+from kongrid.operators.keys import BROADCAST_ROWS
 
 
-def _relabel(rows: DataFrame, column: str, parents: DataFrame) -> DataFrame:
-    """Replace `column` by its node's parent where it has one."""
+def _relabel(rows: DataFrame, column: str, parents: DataFrame, few: bool) -> DataFrame:
+    """Replace `column` by its node's parent where it has one; `few`: the parents are counted and may be broadcast."""
     p = parents.select(F.col("node").alias(column), F.col("parent").alias("_p"), F.col("n").alias("_n"))
-    return attach_left(rows, p, [column], "_n").withColumn(column, F.coalesce("_p", column)).drop("_p", "_n")
+    joined = rows.join(F.broadcast(p), [column], "left") if few else attach_left(rows, p, [column], "_n")
+    return joined.withColumn(column, F.coalesce("_p", column)).drop("_p", "_n")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,9 +29,10 @@ def components(links: DataFrame) -> DataFrame:
     while links.limit(1).count():
         both = links.union(links.select("b", "a"))
         parents = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("parent"), F.count("*").alias("n")))
-        for _ in range(2):  # a node's parent can have a smaller parent of its own
-            parents = cut(_relabel(parents.withColumnRenamed("n", "n_own"), "parent", parents).withColumnRenamed("n_own", "n"))
-        found = cut(_relabel(found, "root", parents))
-        links = _relabel(_relabel(links, "a", parents), "b", parents).where("a <> b")
+        few = parents.count() <= BROADCAST_ROWS
+        # A node's parent can have a smaller parent of its own.
+        parents = cut(_relabel(parents.withColumnRenamed("n", "n_own"), "parent", parents, few).withColumnRenamed("n_own", "n"))
+        found = cut(_relabel(found, "root", parents, few))
+        links = _relabel(_relabel(links, "a", parents, few), "b", parents, few).where("a <> b")
         links = cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return found
