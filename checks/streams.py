@@ -53,7 +53,7 @@ def st2(spark, sf):
 @query("st3_latest_stream", f"WITH {R1} SELECT session, seq, ts, param, value FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS k FROM r1) WHERE k = 1")
 def st3(spark, sf):
     out, check = places(spark)
-    return plain(S.run_to_table(S.latest_stream(requests(spark, sf)), out, check, "complete"), "ts")
+    return plain(S.newest(S.run_to_table(S.latest_stream(requests(spark, sf)), out, check, "update")), "ts")
 
 
 @query("st4_debounce_stream", f"""WITH {R1}, l AS (SELECT *, lead(ts) OVER (PARTITION BY session ORDER BY ts, seq) AS nxt FROM r1)

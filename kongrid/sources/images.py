@@ -12,24 +12,42 @@ from kongrid.schemas import ALPHA_BACKGROUND, MAX_BYTES, MAX_CELLS
 UNPACKED = "grid_id string, y int, x int, c0 int, c1 int, c2 int, c3 int, n_channels int"
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """Decoded pixels with file size and time. Undecodable files stay, with height -1.
+def _key(path: Column) -> Column:
+    """Files are named in URI form; the scheme of local ones is left out."""
+    return F.regexp_replace(path, "^file:/+", "/")
 
-    Files whose size is already over the limit are never decoded: their pixels are not looked up.
+
+def read_images(spark: SparkSession, path: str, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """Decoded pixels with file size and time, from one scan. Undecodable files stay, with height -1.
+
+    Files over `max_bytes` are left out of that scan by their size and listed without being read.
     """
-    files = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
-    img = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
-    # both sources name files in URI form, but only binaryFile keeps the scheme in full
-    def key(c: Column) -> Column:
-        return F.regexp_replace(c, "^file:/+", "/")
-
-    img = img.withColumn("_k", key(F.col("origin"))).drop("origin")
-    files = files.withColumn("_k", key(F.col("path")))
-    j = files.join(img, "_k", "left")
-    return j.select(
-        F.col("_k").alias("grid_id"), "path", "length", "modificationTime", "height", "width",
-        F.col("nChannels").alias("n_channels"), "mode", "data",
-    )
+    meta = F.col("_metadata")
+    facts = [meta["file_path"].alias("path"), meta["file_size"].alias("length"), meta["file_modification_time"].alias("modificationTime")]
+    img = spark.read.format("image").option("dropInvalid", False).load(path).where(meta["file_size"] <= max_bytes)
+    img = img.select(*facts, "image.height", "image.width", F.col("image.nChannels").alias("n_channels"), "image.mode", "image.data")
+    large = spark.read.format("binaryFile").load(path).where(F.col("length") > max_bytes).select("path", "length", "modificationTime")
+    every = img.unionByName(large, allowMissingColumns=True)
+    return every.select(_key(F.col("path")).alias("grid_id"), "path", "length", "modificationTime", "height", "width", "n_channels", "mode", "data")
+
+
+def image_size(content: bytes | None) -> tuple[int, int]:
+    """(height, width) stated in the header of a PNG, GIF, BMP or JPEG file; (-1, -1) for anything else."""
+    c = content or b""
+    if c.startswith(b"\x89PNG\r\n\x1a\n") and len(c) >= 24:
+        return int.from_bytes(c[20:24], "big"), int.from_bytes(c[16:20], "big")
+    if c[:6] in (b"GIF87a", b"GIF89a") and len(c) >= 10:
+        return int.from_bytes(c[8:10], "little"), int.from_bytes(c[6:8], "little")
+    if c.startswith(b"BM") and len(c) >= 26:
+        return abs(int.from_bytes(c[22:26], "little", signed=True)), int.from_bytes(c[18:22], "little", signed=True)
+    at = 2 if c.startswith(b"\xff\xd8") else len(c)
+    while at + 9 <= len(c) and c[at] == 0xFF:
+        kind = c[at + 1]
+        if 0xC0 <= kind <= 0xCF and kind not in (0xC4, 0xC8, 0xCC):  # start of frame
+            return int.from_bytes(c[at + 5 : at + 7], "big"), int.from_bytes(c[at + 7 : at + 9], "big")
+        # fill bytes and markers without a length
+        at += 1 if kind == 0xFF else 2 if kind == 1 or 0xD0 <= kind <= 0xD8 else 2 + int.from_bytes(c[at + 2 : at + 4], "big")
+    return -1, -1
 
 
 def validate_ingest(

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from kongrid.sources.images import validate_ingest
+from kongrid.sources.images import image_size, validate_ingest
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
 
@@ -31,16 +32,14 @@ def ingest_stream(
 
 
 def image_arrivals(spark: SparkSession, path: str) -> DataFrame:
-    """New files under a folder with their size and decoded dimensions, without their content."""
+    """New files under a folder with the size their header states, without their content; -1 where no header is known."""
     files = spark.readStream.format("binaryFile").schema(FILES).load(path)
-    head = F.col("content")
-    # PNG keeps its size in the first chunk: bytes 17-20 width, 21-24 height, big-endian
-    png = F.hex(F.substring(head, 1, 8)) == "89504E470D0A1A0A"
 
-    def number(at):
-        return F.when(png, F.conv(F.hex(F.substring(head, at, 4)), 16, 10).cast("int"))
+    @F.pandas_udf("height int, width int")
+    def sizes(content: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([image_size(c) for c in content], columns=["height", "width"])
 
-    return files.select("path", "modificationTime", "length", F.coalesce(number(21), F.lit(-1)).alias("height"), F.coalesce(number(17), F.lit(-1)).alias("width"))
+    return files.select("path", "modificationTime", "length", sizes("content").alias("_s")).select("path", "modificationTime", "length", "_s.*")
 
 
 def session_stream(events: DataFrame, ttl_seconds: int, by: str = "session", ts: str = "ts", late: str = "10 minutes") -> DataFrame:
@@ -50,10 +49,20 @@ def session_stream(events: DataFrame, ttl_seconds: int, by: str = "session", ts:
     return g.drop("session_window")
 
 
-def latest_stream(requests: DataFrame, session: str = "session", seq: str = "seq") -> DataFrame:
-    """Newest request per session, for update or complete mode; one row of state per session."""
+def latest_stream(requests: DataFrame, session: str = "session", seq: str = "seq", ts: str = "ts", ttl: str = "24 hours") -> DataFrame:
+    """Newest request per session and span of `ttl`, for update mode; `newest` reads the table that it fills.
+
+    State holds the sessions of the spans that the watermark (`ttl` behind) has not passed.
+    """
     rest = [c for c in requests.columns if c not in (session, seq)]
-    best = requests.groupBy(session).agg(F.max(F.struct(seq, *rest)).alias("_b"))
+    best = requests.withWatermark(ts, ttl).groupBy(session, F.window(ts, ttl)).agg(F.max(F.struct(seq, *rest)).alias("_b"))
+    return best.select(session, *[F.col(f"_b.{c}").alias(c) for c in [seq, *rest]])
+
+
+def newest(table: DataFrame, session: str = "session", seq: str = "seq") -> DataFrame:
+    """One row per session, by the largest `seq`, of what update batches have appended."""
+    rest = [c for c in table.columns if c not in (session, seq)]
+    best = table.groupBy(session).agg(F.max(F.struct(seq, *rest)).alias("_b"))
     return best.select(session, *[F.col(f"_b.{c}").alias(c) for c in [seq, *rest]])
 
 
@@ -66,15 +75,19 @@ def debounce_stream(events: DataFrame, quiet_seconds: int, by: list[str] = ["ses
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Process everything available and read the result table (update mode keeps the last row per batch)."""
+    """Process everything available and read the table.
+
+    In update mode a batch appends its changed rows as a partition of its own, which running it again overwrites.
+    """
     spark = stream.sparkSession
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     else:
 
-        def replace(batch: DataFrame, batch_id: int) -> None:
-            batch.write.mode("overwrite").parquet(path)
+        def upsert(batch: DataFrame, batch_id: int) -> None:
+            batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-        q = stream.writeStream.foreachBatch(replace).option("checkpointLocation", checkpoint).outputMode("complete").trigger(availableNow=True).start()
+        q = stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.parquet(path)
+    table = spark.read.parquet(path)
+    return table if mode == "append" else table.drop("batch_id")

@@ -56,3 +56,21 @@ def test_image_stream_equals_batch(spark, folder, tmp_path):
     got = {r["path"].split("/")[-1]: (r["height"], r["width"]) for r in spark.read.parquet(str(tmp_path / "ok")).collect()}
     assert got == {"gray.png": (1, 3), "alpha.png": (1, 2)}
     assert {r["status"] for r in spark.read.parquet(str(tmp_path / "bad")).collect()} == {413, 400}
+
+
+def test_sizes_from_headers():
+    from kongrid.sources.images import image_size
+
+    gif = b"GIF89a" + struct.pack("<HH", 7, 5) + b"\0" * 9
+    bmp = b"BM" + b"\0" * 16 + struct.pack("<ii", 9, -4) + b"\0" * 8
+    jpeg = b"\xff\xd8\xff\xe0" + struct.pack(">H", 16) + b"\0" * 14 + b"\xff\xff\xc0" + struct.pack(">HBHH", 11, 8, 30, 40) + b"\0" * 6
+    assert [image_size(x) for x in (gif, bmp, jpeg, png([[(1, 2, 3)] * 3] * 2, 3))] == [(5, 7), (4, 9), (30, 40), (2, 3)]
+    assert {image_size(x) for x in (None, b"", b"text", jpeg[:25], b"\xff\xd8", b"BM", gif[:7])} == {(-1, -1)}
+
+
+def test_files_over_the_size_limit_are_listed_but_not_decoded(spark, folder):
+    every = {r["grid_id"]: r for r in read_images(spark, str(folder)).collect()}
+    small = sorted(r["length"] for r in every.values())[0]
+    got = read_images(spark, str(folder), max_bytes=small).collect()
+    assert {r["grid_id"] for r in got} == set(every)
+    assert all((r["data"] is None) == (r["length"] > small) for r in got)
