@@ -1,11 +1,14 @@
 """Scalar, predicate, gate, store and request queries (FN, PRD, SNK, SRC-2, TK-5, TK-6)."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from checks.base import COLORS, D1, G1, R1, query, wrap
 from checks.statistics import rounded
 from kongrid.functions import color, gates, geometry as geo, regions
 from kongrid.operators import exports, recency
+from kongrid.operators.cut import shared_dir
 from kongrid.operators.stats import appearance_report
 from kongrid.sources import adapters as A
 from kongrid.sources import images, store
@@ -346,6 +349,30 @@ def src2d(spark, sf):
 IDS = "CASE WHEN o_orderkey % 10 = 0 THEN 'order ' || o_orderkey ELSE printf('%06x', o_orderkey) || '-a' END"
 
 
+@query("snk1_write_results", """SELECT o_orderkey, o_custkey AS cust, '{"cust":' || o_custkey || ',"status":"' || o_orderstatus || '"}' AS metrics_json, '2024-01-31' AS run_date FROM orders""")
+def snk1(spark, sf):
+    path = f"{shared_dir(spark).rstrip('/')}/kongrid-results-{uuid.uuid4().hex}"
+    o = A.table(spark, sf, "orders").select("o_orderkey", F.struct(F.col("o_custkey").alias("cust"), F.col("o_orderstatus").alias("status")).alias("metrics"))
+    store.write_results(o, path, ["o_orderkey"], "2024-01-31")
+    return store.read_results(spark, path).select("o_orderkey", F.col("metrics.cust").alias("cust"), "metrics_json", F.col("run_date").cast("string").alias("run_date"))
+
+
+# half of the orders are looked up again on the 19th; a day later only run dates with such an order are left
+@query("snk4_remove_expired", """WITH s AS (SELECT o_orderkey, CAST(TIMESTAMP '2024-01-01' + to_days(CAST(o_custkey % 17 AS INTEGER)) AS DATE) AS run_date, o_custkey % 17 < 5 AND o_orderkey % 2 = 0 AS seen FROM orders)
+SELECT o_orderkey, CAST(run_date AS VARCHAR) AS run_date, seen FROM s WHERE run_date IN (SELECT run_date FROM s WHERE seen)""")
+def snk4r(spark, sf):
+    base = f"{shared_dir(spark).rstrip('/')}/kongrid-store-{uuid.uuid4().hex}"
+    o = A.table(spark, sf, "orders").select("o_orderkey", "o_custkey", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("o_custkey") % 17).cast("int")).alias("run_date"))
+    o = o.withColumn("last_access", F.col("run_date").cast("timestamp"))
+    o.repartition("run_date").write.partitionBy("run_date").parquet(f"{base}/results")
+    found = o.where("o_custkey % 17 < 5 AND o_orderkey % 2 = 0").select("o_orderkey", F.lit(200).alias("status"), F.lit("2024-01-19 12:00:00").cast("timestamp").alias("last_access"))
+    store.record_access(found, f"{base}/access", "o_orderkey")
+    access = spark.read.parquet(f"{base}/access")
+    store.remove_expired(spark, f"{base}/results", access, "o_orderkey", F.lit("2024-01-20 12:00:00").cast("timestamp"), 86400)
+    left = store.with_access(store.read_results(spark, f"{base}/results"), access, "o_orderkey")
+    return left.select("o_orderkey", F.col("run_date").cast("string").alias("run_date"), (F.col("last_access") >= F.lit("2024-01-19").cast("timestamp")).alias("seen"))
+
+
 @query("snk2_lookup_results", f"""WITH k AS (SELECT o_orderkey, {IDS} AS id FROM orders),
 s AS (SELECT printf('%06x', o_orderkey) || '-a' AS id, o_totalprice AS transform, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS metrics FROM orders WHERE o_custkey % 2 = 0)
 SELECT k.o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 400 WHEN s.id IS NULL THEN 404 WHEN metrics IS NULL THEN 500 ELSE 200 END AS status,
@@ -414,3 +441,24 @@ def ag6(spark, sf):
     c = A.part_colors(spark, sf).select((F.col("p_partkey") % 7).alias("pair"), t.alias("t"), x.alias("x"), z.alias("z"))
     rep = appearance_report(c, color.lab_distance(F.col("t"), F.col("x")), color.lab_distance(F.col("t"), F.col("z")), ["pair"])
     return rounded(rounded(rep, "distance_before", "distance_after", n=5), "improvement")
+
+
+# every part as a picture of two pixels of one, three or four channels
+@query("src3_to_grid", f"""WITH {COLORS}, px AS (SELECT p.p_partkey, CAST(0 AS INTEGER) AS x, b, g, r, p_size * 5 % 256 AS a FROM colors JOIN part p USING (p_partkey)
+ UNION ALL SELECT p_partkey, CAST(1 AS INTEGER), r, g, b, 255 FROM colors),
+v AS (SELECT p_partkey, x, p_partkey % 3 AS kind, a / 255.0 AS al, b, g, r FROM px)
+SELECT CAST(p_partkey AS VARCHAR) AS grid_id, CAST(0 AS INTEGER) AS y, x,
+ {', '.join(f"CASE kind WHEN 0 THEN b WHEN 1 THEN {c} ELSE floor({c} * al + 24.0 * (1.0 - al)) END AS {c}" for c in "bgr")} FROM v""")
+def src3(spark, sf):
+    size = A.table(spark, sf, "part").select("p_partkey", (F.col("p_size") * 5 % 256).alias("a"))
+    c = A.part_colors(spark, sf).join(size, "p_partkey")
+
+    def text(*values):
+        return F.concat(*[F.lpad(F.hex(v.cast("long")), 2, "0") for v in values])
+
+    b, g, r, a = (F.col(k) for k in ("b", "g", "r", "a"))
+    kind = F.col("p_partkey") % 3
+    data = F.when(kind == 0, text(b, r)).when(kind == 1, text(b, g, r, r, g, b)).otherwise(text(b, g, r, a, r, g, b, F.lit(255)))
+    channels = F.when(kind == 0, 1).when(kind == 1, 3).otherwise(4)
+    pictures = c.select(F.col("p_partkey").alias("grid_id"), F.lit(1).alias("height"), F.lit(2).alias("width"), channels.alias("n_channels"), F.unhex(data).alias("data"))
+    return images.to_grid(pictures)
