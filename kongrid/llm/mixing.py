@@ -29,7 +29,7 @@ MOST_LOGIT = 8.0
 
 
 def token_buckets(text: Column, buckets: int = BUCKETS) -> Column:
-    words = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), lambda w: w != "")
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), "")
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
 
 
@@ -131,21 +131,37 @@ def solve_rates(rows: DataFrame, weights: list[float], total: float | None = Non
 class Mixture:
     model: DomainModel
     steps: list[list[float]]
+    rows: DataFrame  # id, _mix_u, _mix_tokens and _mix_p* of the documents that it was fitted on, written
+    id_col: str
 
-    def add(self, docs: DataFrame, text: Column, id_col: Column, dead_zone: float) -> DataFrame:
-        """`docs` with _mix_tokens, _mix_p*, _mix_rate and _mix_copies. Rates within the dead zone of 1 count as 1; others are
-        rounded up with the probability of their fraction, by a hash of id and text."""
-        docs = self.model.add(docs, text).withColumn("_mix_rate", rate(self.steps))
-        u = F.pmod(F.xxhash64(id_col, text, F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    def rated(self, rows: DataFrame, dead_zone: float) -> DataFrame:
+        """Add _mix_rate and _mix_copies. Rates within the dead zone of 1 count as 1; others are rounded up with the probability
+        of their fraction, by a hash of id and text (_mix_u)."""
         r = F.col("_mix_rate")
-        return docs.withColumn("_mix_copies", F.when(F.abs(r - 1) <= dead_zone, F.lit(1)).otherwise(F.floor(r + u)).cast("int"))
+        copies = F.when(F.abs(r - 1) <= dead_zone, F.lit(1)).otherwise(F.floor(r + F.col("_mix_u"))).cast("int")
+        return rows.withColumn("_mix_rate", rate(self.steps)).withColumn("_mix_copies", copies)
+
+    def shown(self, rated: DataFrame, id_col: str) -> DataFrame:
+        shares = [F.col(f"_mix_p{k}").alias(f"p_{d}") for k, d in enumerate(self.model.domains)]
+        return rated.select(id_col, F.col("_mix_tokens").cast("long").alias("n_tokens"), *shares, F.col("_mix_rate").alias("rate"), F.col("_mix_copies").alias("copies"))
+
+
+def _scored(docs: DataFrame, model: DomainModel, id_col: str, text_col: str) -> DataFrame:
+    """`docs` with _mix_u (a number in 0 to 1 by hash of id and text), _mix_tokens and _mix_p*."""
+    u = F.pmod(F.xxhash64(id_col, text_col, F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    return model.add(docs.withColumn("_mix_u", u), F.col(text_col))
 
 
 def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> Mixture:
     """Domain model and descent for target weights by domain (the first domain is the reference); see `solve_rates`."""
     model = fit_domains(docs, labelled, list(targets), id_col=id_col, text_col=text_col)
-    rows = cut(model.add(docs.select(F.col(text_col).alias("_t")), F.col("_t")).drop("_t"))
-    return Mixture(model, solve_rates(rows, list(targets.values()), total))
+    rows = cut(_scored(docs.select(id_col, F.col(text_col).alias("_mix_text")), model, id_col, "_mix_text").drop("_mix_text"))
+    return Mixture(model, solve_rates(rows, list(targets.values()), total), rows, id_col)
+
+
+def fitted_rates(mixture: Mixture, dead_zone: float = 0.05) -> DataFrame:
+    """As `mixing_rates` for the documents that the mixture was fitted on, without reading their texts again."""
+    return mixture.shown(mixture.rated(mixture.rows, dead_zone), mixture.id_col)
 
 
 def mixing_rates(docs: DataFrame, mixture: Mixture, dead_zone: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -154,14 +170,13 @@ def mixing_rates(docs: DataFrame, mixture: Mixture, dead_zone: float = 0.05, id_
     Null and empty texts have no tokens and the prior's posteriors. Domains without a labelled document get next to no
     posterior. Repeated rows give equal rows; an empty table gives no rows; other columns are ignored.
     """
-    added = mixture.add(docs.select(id_col, F.col(text_col).alias("_t")), F.col("_t"), F.col(id_col), dead_zone)
-    shares = [F.col(f"_mix_p{k}").alias(f"p_{d}") for k, d in enumerate(mixture.model.domains)]
-    return added.select(id_col, F.col("_mix_tokens").cast("long").alias("n_tokens"), *shares, F.col("_mix_rate").alias("rate"), F.col("_mix_copies").alias("copies"))
+    rows = _scored(docs.select(id_col, F.col(text_col).alias("_mix_text")), mixture.model, id_col, "_mix_text")
+    return mixture.shown(mixture.rated(rows, dead_zone), id_col)
 
 
 def mixed(docs: DataFrame, mixture: Mixture, dead_zone: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, each repeated by its copies (none for 0), with their own columns."""
-    added = mixture.add(docs, F.col(text_col), F.col(id_col), dead_zone)
+    added = mixture.rated(_scored(docs, mixture.model, id_col, text_col), dead_zone)
     return added.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies"))).alias("_mix_one")).drop("_mix_one")
 
 

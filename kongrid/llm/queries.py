@@ -10,7 +10,7 @@ from kongrid.llm.common import table
 from kongrid.llm.latent import find_leaks
 from kongrid.llm.licenses import scan_licenses
 from kongrid.llm.lines import judge_lines, train_field
-from kongrid.llm.mixing import fit_mixture, label_domains, mixing_rates
+from kongrid.llm.mixing import fit_mixture, fitted_rates, label_domains
 from kongrid.llm.quality import score_quality, train_quality
 from kongrid.llm.repeats import strip_repeats
 from kongrid.llm.sharding import shard_minimax
@@ -48,7 +48,7 @@ def op5_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing_rates(docs, fit_mixture(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS))
+    return fitted_rates(fit_mixture(docs, label_domains(table(spark, sf_dir, "labels")), TARGETS))
 
 
 def op7_latent_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:

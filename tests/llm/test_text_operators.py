@@ -445,6 +445,7 @@ def test_mixing_meets_targets(spark, docs, empty):
     marks = spark.createDataFrame([(k, "bad" if k % 4 == 0 else "fine") for k in range(0, 400, 2)] + [(None, "bad"), (7, "unknown")], "doc_id long, domain string")
     mixture = mixing.fit_mixture(df, marks, {"fine": 0.95, "bad": 0.05})
     got = mixing.mixing_rates(df, mixture).toPandas()
+    assert rows_of(mixing.fitted_rates(mixture), "doc_id", "rate", "copies") == rows_of(mixing.mixing_rates(df, mixture), "doc_id", "rate", "copies")
     mass = {d: (got[f"p_{d}"] * got.n_tokens * got.rate).sum() for d in ("fine", "bad")}
     assert mass["bad"] / sum(mass.values()) == pytest.approx(0.05, abs=0.002) and (got.rate >= 0).all()
     assert mass["fine"] == pytest.approx((got.p_fine * got.n_tokens).sum(), rel=0.01)
