@@ -40,12 +40,12 @@ SECONDS = "(extract('hour' FROM ts) * 3600 + extract('minute' FROM ts) * 60 + ex
 D1 = f"""
 d1 AS (SELECT event_type AS grid_id, event_id, {SECONDS} / 240.0 AS angle, value AS weight FROM events)"""
 C1 = """
-c1 AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'cand' ELSE 'ref' END AS grid_id, vec_id AS kp_id, label,
+c1 AS (SELECT CASE WHEN vec_id % 2 = 0 THEN 'cand' ELSE 'ref' END AS grid_id, CAST(vec_id // 250 AS VARCHAR) AS pair_id, vec_id AS kp_id, label,
               CAST(sum(CASE WHEN e <= 0 THEN CAST(0 AS HUGEINT)
                             WHEN p = 64 THEN CAST(-9223372036854775808 AS HUGEINT)
                             ELSE CAST(1 AS HUGEINT) << CAST(p - 1 AS INTEGER) END) AS BIGINT) AS d
        FROM (SELECT vec_id, label, unnest(embedding) AS e, generate_subscripts(embedding, 1) AS p FROM embeddings)
-       GROUP BY 1, 2, 3)"""
+       GROUP BY 1, 2, 3, 4)"""
 V1 = "v1 AS (SELECT l_orderkey, l_linenumber, l_returnflag AS grp, l_extendedprice AS v FROM lineitem)"
 COLORS = """
 colors AS (SELECT p_partkey, CAST(p_partkey * 7 % 256 AS DOUBLE) AS b, CAST(p_size * 37 % 256 AS DOUBLE) AS g,

@@ -57,16 +57,20 @@ def jn8(spark, sf):
     return rounded(P.circular_xcorr(packed, pairs, 1440, 15.0, every_lag=True), "score")
 
 
-NEAR = f"""{C1}, dist AS (SELECT c.kp_id AS cand_kp, r.kp_id AS ref_kp, bit_count(xor(c.d, r.d)) AS distance FROM c1 c CROSS JOIN c1 r WHERE c.grid_id = 'cand' AND r.grid_id = 'ref'),
+# one pair per range of 250 ids, so a larger table has more pairs and not larger ones
+NEAR = f"""{C1}, dist AS (SELECT c.pair_id, c.kp_id AS cand_kp, r.kp_id AS ref_kp, bit_count(xor(c.d, r.d)) AS distance FROM c1 c JOIN c1 r USING (pair_id) WHERE c.grid_id = 'cand' AND r.grid_id = 'ref'),
 fwd AS (SELECT *, row_number() OVER (PARTITION BY cand_kp ORDER BY distance, ref_kp) AS k FROM dist),
 bwd AS (SELECT *, row_number() OVER (PARTITION BY ref_kp ORDER BY distance, cand_kp) AS k FROM dist),
-ratio AS (SELECT a.cand_kp, a.ref_kp, a.distance, a.distance < {{ratio}} * b.distance AS good FROM fwd a JOIN fwd b USING (cand_kp) WHERE a.k = 1 AND b.k = 2),
-mutual AS (SELECT f.cand_kp, f.ref_kp, f.distance FROM fwd f JOIN bwd b USING (cand_kp, ref_kp) WHERE f.k = 1 AND b.k = 1)"""
+ratio AS (SELECT a.pair_id, a.cand_kp, a.ref_kp, a.distance, a.distance < {{ratio}} * b.distance AS good FROM fwd a JOIN fwd b USING (cand_kp) WHERE a.k = 1 AND b.k = 2),
+mutual AS (SELECT f.pair_id, f.cand_kp, f.ref_kp, f.distance, row_number() OVER (PARTITION BY f.pair_id ORDER BY f.distance, cand_kp, ref_kp) AS place FROM fwd f JOIN bwd b USING (cand_kp, ref_kp) WHERE f.k = 1 AND b.k = 1),
+n AS (SELECT pair_id, count(*) FILTER (good) AS n FROM ratio GROUP BY 1)"""
+FOUND = "pair_id, cand_kp, ref_kp, CAST(distance AS INTEGER) AS distance"
 
 
-def one_pair(spark, sf):
-    d = A.sign_descriptors(spark, sf)
-    pairs = d.select(F.lit("ref|cand").alias("pair_id"), F.lit("ref").alias("ref_id"), F.lit("cand").alias("cand_id")).distinct()
+def range_pairs(spark, sf):
+    part = F.floor(F.col("kp_id") / 250).cast("string")
+    d = A.sign_descriptors(spark, sf).withColumn("grid_id", F.concat("grid_id", part))
+    pairs = d.select(part.alias("pair_id"), F.concat(F.lit("ref"), part).alias("ref_id"), F.concat(F.lit("cand"), part).alias("cand_id")).distinct()
     return d, pairs
 
 
@@ -74,35 +78,33 @@ def matched(m):
     return m.select("pair_id", "cand_kp", "ref_kp", F.col("distance").cast("int").alias("distance"))
 
 
-@query("jn5_knn_ratio", f"WITH {NEAR.format(ratio=0.9)} SELECT 'ref|cand' AS pair_id, cand_kp, ref_kp, CAST(distance AS INTEGER) AS distance FROM ratio WHERE good")
+@query("jn5_knn_ratio", f"WITH {NEAR.format(ratio=0.9)} SELECT {FOUND} FROM ratio WHERE good")
 def jn5(spark, sf):
-    return matched(matching.knn_ratio(*one_pair(spark, sf), ratio=0.9))
+    return matched(matching.knn_ratio(*range_pairs(spark, sf), ratio=0.9))
 
 
-@query("jn6_mutual_nn", f"WITH {NEAR.format(ratio=0.9)} SELECT 'ref|cand' AS pair_id, cand_kp, ref_kp, CAST(distance AS INTEGER) AS distance FROM mutual")
+@query("jn6_mutual_nn", f"WITH {NEAR.format(ratio=0.9)} SELECT {FOUND} FROM mutual")
 def jn6(spark, sf):
-    return matched(matching.mutual_nn(*one_pair(spark, sf), limit=None))
+    return matched(matching.mutual_nn(*range_pairs(spark, sf), limit=None))
 
 
-@query("tk4_nearest_matches_limit", f"""WITH {NEAR.format(ratio=0.9)} SELECT 'ref|cand' AS pair_id, cand_kp, ref_kp, CAST(distance AS INTEGER) AS distance
-FROM mutual ORDER BY distance, cand_kp, ref_kp LIMIT 20""")
+@query("tk4_nearest_matches_limit", f"WITH {NEAR.format(ratio=0.9)} SELECT {FOUND} FROM mutual WHERE place <= 20")
 def tk4(spark, sf):
-    return matched(matching.mutual_nn(*one_pair(spark, sf), limit=20))
+    return matched(matching.mutual_nn(*range_pairs(spark, sf), limit=20))
 
 
-@query("jn7_match_descriptors", f"""WITH {NEAR.format(ratio=0.76)}, n AS (SELECT count(*) FILTER (good) AS n FROM ratio)
-SELECT 'ref|cand' AS pair_id, cand_kp, ref_kp, CAST(distance AS INTEGER) AS distance, 'ratio' AS method FROM ratio WHERE good AND (SELECT n FROM n) >= 10
-UNION ALL SELECT * FROM (SELECT 'ref|cand', cand_kp, ref_kp, CAST(distance AS INTEGER), 'mutual' FROM mutual WHERE (SELECT n FROM n) < 10 ORDER BY distance, cand_kp, ref_kp LIMIT 100)""")
+@query("jn7_match_descriptors", f"""WITH {NEAR.format(ratio=0.76)} SELECT {FOUND}, 'ratio' AS method FROM ratio JOIN n USING (pair_id) WHERE good AND n >= 10
+UNION ALL SELECT {FOUND}, 'mutual' FROM mutual JOIN n USING (pair_id) WHERE n < 10 AND place <= 100""")
 def jn7(spark, sf):
-    m, _ = matching.match_descriptors(*one_pair(spark, sf))
+    m, _ = matching.match_descriptors(*range_pairs(spark, sf))
     return m.select("pair_id", "cand_kp", "ref_kp", F.col("distance").cast("int").alias("distance"), "method")
 
 
-@query("jn7_match_status", f"""WITH {NEAR.format(ratio=0.9)}, n AS (SELECT count(*) FILTER (good) AS n FROM ratio), m AS (SELECT least(100, count(*)) AS m FROM mutual),
-t AS (SELECT CASE WHEN n >= 10 THEN n ELSE m END AS k FROM n, m)
-SELECT 'ref|cand' AS pair_id, n AS good, k AS matches, CASE WHEN k < 8 THEN 422 ELSE 200 END AS status, CASE WHEN k < 8 THEN 'not enough matches' ELSE 'ok' END AS reason FROM n, t""")
+@query("jn7_match_status", f"""WITH {NEAR.format(ratio=0.9)}, m AS (SELECT pair_id, least(100, count(*)) AS m FROM mutual GROUP BY 1),
+t AS (SELECT pair_id, n, CASE WHEN n >= 10 THEN n ELSE m END AS k FROM n JOIN m USING (pair_id))
+SELECT pair_id, n AS good, k AS matches, CASE WHEN k < 8 THEN 422 ELSE 200 END AS status, CASE WHEN k < 8 THEN 'not enough matches' ELSE 'ok' END AS reason FROM t""")
 def jn7s(spark, sf):
-    _, s = matching.match_descriptors(*one_pair(spark, sf), ratio=0.9)
+    _, s = matching.match_descriptors(*range_pairs(spark, sf), ratio=0.9)
     return s.select("pair_id", "good", "matches", "status", "reason")
 
 
@@ -148,14 +150,14 @@ def ag11_close(spark, sf):
     return rounded(c, "scale", "rotation", "median_error")
 
 
-# every embedding matched with a turned, scaled and bit-flipped copy of itself, one pair per label
-@query("pl2_align_by_descriptors", """SELECT CAST(label AS VARCHAR) AS pair_id, least(count(*), 100000) AS matches, count(*) AS inliers, CAST(1.25 AS DOUBLE) AS scale, CAST(-9 AS DOUBLE) AS rotation,
- 'high' AS confidence, 200 AS status, 'ok' AS reason FROM embeddings GROUP BY label""")
+# every embedding matched with a turned, scaled and bit-flipped copy of itself, one pair per label and range of 500 ids
+@query("pl2_align_by_descriptors", """SELECT label || '-' || (vec_id // 500) AS pair_id, least(count(*), 100000) AS matches, count(*) AS inliers, CAST(1.25 AS DOUBLE) AS scale, CAST(-9 AS DOUBLE) AS rotation,
+ 'high' AS confidence, 200 AS status, 'ok' AS reason FROM embeddings GROUP BY 1""")
 def pl2(spark, sf):
     e = A.sign_descriptors(spark, sf)
     x, y = F.col("embedding")[0].cast("double") * 900 + 300, F.col("embedding")[1].cast("double") * 900 + 300
     px, py = geo.apply_transform(x, y, geo.rotate_scale_about(300, 300, -9.0, 1.25, 14, -6))
-    lab = F.col("label").cast("string")
+    lab = F.concat_ws("-", F.col("label").cast("string"), F.floor(F.col("kp_id") / 500).cast("string"))
     cand = e.select(F.concat(F.lit("c"), lab).alias("grid_id"), "kp_id", x.alias("x"), y.alias("y"), "desc")
     flipped = F.transform("desc", lambda w: w.bitwiseXOR(F.lit(5).cast("long")))
     ref = e.select(F.concat(F.lit("r"), lab).alias("grid_id"), "kp_id", px.alias("x"), py.alias("y"), flipped.alias("desc"))
