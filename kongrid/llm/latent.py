@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -83,7 +84,7 @@ def _hits(texts: list[bytes], terms: dict[bytes, int]):
         w = words(text)
         all_words.append(w)
         n = max(1, -(-len(w) // BLOCK))
-        found = np.array([-1 if (k := get(x)) is None else k for x in w], np.int64) if w else np.zeros(0, np.int64)
+        found = np.fromiter(map(get, w, repeat(-1)), np.int64, len(w))
         at = np.flatnonzero(found >= 0)
         term.append(found[at])
         block.append(at // BLOCK + base)
