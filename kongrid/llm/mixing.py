@@ -1,6 +1,6 @@
 """Mixing to target weights with soft domains, in DataFrame functions only.
 
-A naive Bayes model over hashed words, counted from a table of labelled documents, gives each document's domain posteriors.
+A naive Bayes model over the hashed words that a document has, counted from a table of labelled documents, gives each document's domain posteriors.
 Rates r >= 0 are sought for all documents so that the expected tokens of each domain, sum of r * tokens * posterior, meet
 the targets: least squares over relative errors, by projected gradient. A step moves every document by a combination of its
 posteriors, so the whole course of the descent is a short list of vectors; a round sums (tokens, posteriors) rows with that list
@@ -20,8 +20,8 @@ from kongrid.llm.common import held_out
 from kongrid.operators.cut import cut
 
 BUCKETS = 16_384
-# Standard errors by which a bucket's log odds are pulled to 0.
-SIGMAS = 2.0
+# Standard errors from which on a bucket's deviation counts.
+SIGMAS = 4.0
 # Labelled documents that the posterior model is counted from.
 LABELLED = 20_000
 # Posterior log odds stay within this.
@@ -47,13 +47,14 @@ class DomainModel:
         """`docs` with _mix_tokens and _mix_p0, _mix_p1, ...: posteriors in the order of the domains. Each step is a projection
         of its own, so that nothing is computed twice."""
         n = len(self.domains)
-        docs = docs.withColumn("_mix_b", token_buckets(text))
+        docs = docs.withColumn("_mix_all", token_buckets(text))
+        docs = docs.withColumns({"_mix_b": F.array_distinct("_mix_all"), "_mix_tokens": F.size("_mix_all").cast("double")}).drop("_mix_all")
         odds = {"_mix_o0": F.lit(1.0)}
         for k in range(1, n):
             table = F.from_json(F.lit(json.dumps(self.weights[k])), "array<double>")
             total = F.aggregate(F.transform("_mix_b", _looked_up(table)), F.lit(self.prior[k]), lambda a, b: a + b)
             odds[f"_mix_o{k}"] = F.exp(F.least(F.greatest(total, F.lit(-MOST_LOGIT)), F.lit(MOST_LOGIT)))
-        docs = docs.withColumns(odds | {"_mix_tokens": F.size("_mix_b").cast("double")}).drop("_mix_b")
+        docs = docs.withColumns(odds).drop("_mix_b")
         whole = sum((F.col(f"_mix_o{k}") for k in range(1, n)), F.col("_mix_o0"))
         return docs.withColumns({f"_mix_p{k}": F.col(f"_mix_o{k}") / whole for k in range(n)}).drop(*odds)
 
@@ -61,8 +62,9 @@ class DomainModel:
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
     """Count `labelled` (doc_id, domain) documents, at most `rows` by hash of the id; buckets x domains counts reach the driver."""
     chosen = labelled.where(F.col("doc_id").isNotNull() & F.col("domain").isin(domains)).groupBy("doc_id").agg(F.min("domain").alias("domain")).orderBy(F.xxhash64("doc_id")).limit(rows)
-    joined = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "doc_id")
-    tokens = joined.select("domain", F.explode_outer(token_buckets(F.col("_t"))).alias("bucket"))
+    # Copies of a text, and repeats of a word in it, are no further evidence.
+    joined = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")).join(F.broadcast(chosen), "doc_id").dropDuplicates(["domain", "_t"])
+    tokens = joined.select("domain", F.explode_outer(F.array_distinct(token_buckets(F.col("_t")))).alias("bucket"))
     counts = {(r["domain"], r["bucket"]): r["n"] for r in tokens.groupBy("domain", "bucket").agg(F.count("bucket").alias("n")).collect()}
     n_docs = {r["domain"]: r["n"] for r in joined.groupBy("domain").agg(F.count("*").alias("n")).collect()}
     of = [[counts.get((d, b), 0) for b in range(BUCKETS)] for d in domains]
@@ -74,16 +76,18 @@ def _log_odds(counts: list[int], base: list[int]) -> list[float]:
     """Log ratio of each bucket's share in a domain to that in the first one.
 
     Ratios that chance may explain are replaced by the ratio of all such buckets together, so that a text without any telling
-    word counts as what most such texts are; the others are pulled in by their standard errors.
+    word counts as what most such texts are; the others are pulled in by one standard error.
     """
     total, base_total = sum(counts), sum(base)
     if not total or not base_total:
         return [0.0] * len(counts)
     odds = [log((n + 0.5) / (total + 1)) - log((m + 0.5) / (base_total + 1)) for n, m in zip(counts, base)]
-    chance = [SIGMAS * (1 / (n + 0.5) + 1 / (m + 0.5)) ** 0.5 for n, m in zip(counts, base)]
-    plain = [abs(x) <= c for x, c in zip(odds, chance)]
+    share = total / (total + base_total)
+    # Deviation of a count from its part of both counts, in standard errors.
+    plain = [abs(n - (n + m) * share) <= SIGMAS * ((n + m) * share * (1 - share)) ** 0.5 for n, m in zip(counts, base)]
+    chance = [(1 / (n + 0.5) + 1 / (m + 0.5)) ** 0.5 for n, m in zip(counts, base)]
     rest = log((sum(n for n, p in zip(counts, plain) if p) + 0.5) / (total + 1)) - log((sum(m for m, p in zip(base, plain) if p) + 0.5) / (base_total + 1))
-    return [round(rest if p else copysign(abs(x) - c, x), 5) for x, c, p in zip(odds, chance, plain)]
+    return [round(rest if p else copysign(max(0.0, abs(x) - c), x), 5) for x, c, p in zip(odds, chance, plain)]
 
 
 def rate(steps: list[list[float]]) -> Column:

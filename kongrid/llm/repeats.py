@@ -29,7 +29,7 @@ LENGTH = 400
 WINDOW = 256
 ROLL = 8
 # Phrases of one core that are compared in one task.
-FEW = 256
+FEW = 4096
 # Bytes that a kernel works on at a time; longer texts are cut into pieces that overlap by LENGTH - 1.
 PIECE = 1 << 20
 

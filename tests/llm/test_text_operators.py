@@ -442,7 +442,7 @@ def test_mixing_meets_targets(spark, docs, empty):
     r = random.Random(4)
     rows = [(k, prose(60, k) + (" awful nasty vile" * (2 + k % 3) if k % 4 == 0 else "")) for k in range(400)]
     df = spark.createDataFrame(rows, DOCS).withColumn("rate", F.lit(1)).withColumn("copies", F.lit(1)).repartition(3)
-    marks = spark.createDataFrame([(k, "bad" if k % 4 == 0 else "fine") for k in range(0, 400, 2)] + [(None, "bad"), (7, "unknown")], "doc_id long, domain string")
+    marks = spark.createDataFrame([(k, "bad" if k % 4 == 0 else "fine") for k in range(0, 400, 3)] + [(None, "bad"), (7, "unknown")], "doc_id long, domain string")
     mixture = mixing.fit_mixture(df, marks, {"fine": 0.95, "bad": 0.05})
     got = mixing.mixing_rates(df, mixture).toPandas()
     assert rows_of(mixing.fitted_rates(mixture), "doc_id", "rate", "copies") == rows_of(mixing.mixing_rates(df, mixture), "doc_id", "rate", "copies")
