@@ -3,9 +3,10 @@
 Passages are windows of two blocks of words, weighed by TF-IDF over terms of the benchmark (other terms are orthogonal to
 every item). A first pass over the corpus counts the passages of each term; the terms of the latent space are those that are
 rare, and the rarest of each item. A second pass yields A'A times a random matrix, A being all passages, from which the
-leading singular vectors follow by the Nystrom formula (a randomised SVD that reads A once). A third pass projects every
-passage, takes the items whose cosine and coverage are high, and checks the word sequences: the longest common subsequence
-must hold enough of the item, and of its last part (the answer).
+leading singular vectors follow by the Nystrom formula (a randomised SVD that reads A once). An item longer than a passage is
+searched by half-overlapping parts of a passage's length. A third pass projects every passage, takes the items of which a
+part's cosine and coverage are high, and checks the word sequences of the whole item: the longest common subsequence must
+hold enough of it, and of its last third (the answer).
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from pyspark.sql import functions as F
 from kongrid.llm.common import filter_rows, map_rows, utf8
 
 BLOCK = 32
+# Numbers of one matrix of passages x parts in a task.
+MOST_PRODUCTS = 40_000_000
 # The benchmark goes to every task; its items and the terms they bring are bounded by this.
 MOST_ITEMS = 10_000
 
@@ -50,27 +53,38 @@ def lcs(a: list[bytes], b: list[bytes], tail: int) -> tuple[int, int]:
     return length(a), length(a[len(a) - tail :])
 
 
+def parts(tokens: list[bytes]) -> list[list[bytes]]:
+    """The item, or half-overlapping parts of a passage's length that end with its last word."""
+    size = 2 * BLOCK
+    if len(tokens) <= size:
+        return [tokens]
+    return [tokens[at : at + size] for at in [*range(0, len(tokens) - size, BLOCK), len(tokens) - size]]
+
+
 class Benchmark:
-    """Items with a word, and the terms that stand for them."""
+    """Items with a word, their parts, and the terms that stand for them."""
 
     def __init__(self, rows: list[tuple]):
         rows = [(k, w) for k, t in rows if (w := words(t))]
         self.ids, self.tokens = [k for k, _ in rows], [w for _, w in rows]
+        cut = [parts(w) for w in self.tokens]
+        self.parts = [p for of in cut for p in of]
+        self.item = np.repeat(np.arange(len(cut)), [len(of) for of in cut])  # the item of each part
         self.terms = {x: i for i, x in enumerate(sorted({x for w in self.tokens for x in w}))}
 
     def narrow(self, df: np.ndarray, passages: int, common: float, least: int) -> np.ndarray:
-        """Keep terms of at most the share `common` of passages and the `least` rarest of each item; returns their counts."""
+        """Keep terms of at most the share `common` of passages and the `least` rarest of each part; returns their counts."""
         order = {x: (int(df[i]), x) for x, i in self.terms.items()}
         kept = {x for x in self.terms if order[x][0] <= common * passages}
-        for w in self.tokens:
+        for w in self.parts:
             kept.update(sorted(set(w), key=order.get)[:least])
         counts = np.array([order[x][0] for x in sorted(kept)], np.int64)
         self.terms = {x: i for i, x in enumerate(sorted(kept))}
         return counts
 
     def matrix(self, idf: np.ndarray) -> np.ndarray:
-        q = np.zeros((len(self.ids), len(self.terms)))
-        for i, w in enumerate(self.tokens):
+        q = np.zeros((len(self.parts), len(self.terms)))
+        for i, w in enumerate(self.parts):
             for x in w:
                 if x in self.terms:
                     q[i, self.terms[x]] += 1
@@ -197,7 +211,7 @@ class LeakFinder:
 
     bench: Benchmark
     vectors: np.ndarray  # terms x rank, weighed by IDF
-    unit: np.ndarray  # items x rank
+    unit: np.ndarray  # parts of items x rank
     norm: np.ndarray
     cosine: float
     coverage: float
@@ -216,12 +230,16 @@ class LeakFinder:
         p = _passages(_sums(self.vectors[term], block, int(blocks.sum())), blocks)
         first = np.concatenate([[0], np.cumsum(blocks)[:-1]])
         size = np.linalg.norm(p, axis=1)
-        far = np.flatnonzero(size >= self.coverage * self.norm.min())  # no shorter one can reach the coverage of any item
-        for a in range(0, len(far), 4096):
-            at_passage = far[a : a + 4096]
+        far = np.flatnonzero(size >= self.coverage * self.norm.min())  # no shorter one can reach the coverage of any part
+        step = max(1, min(4096, MOST_PRODUCTS // len(self.norm)))
+        for a in range(0, len(far), step):
+            at_passage = far[a : a + step]
             along = p[at_passage] @ self.unit.T
-            which, items = np.nonzero((along >= self.cosine * size[at_passage, None]) & (along >= self.coverage * self.norm))
-            for row, i in zip(which.tolist(), items.tolist()):
+            which, hit = np.nonzero((along >= self.cosine * size[at_passage, None]) & (along >= self.coverage * self.norm))
+            pairs: dict[tuple[int, int], float] = {}  # best part of each (passage, item)
+            for row, i, x in zip(which.tolist(), self.bench.item[hit].tolist(), along[which, hit].tolist()):
+                pairs[row, i] = max(x, pairs.get((row, i), x))
+            for (row, i), x in pairs.items():
                 j = int(at_passage[row])
                 k = int(np.searchsorted(first, j, "right")) - 1
                 item, at = self.bench.tokens[i], (j - int(first[k])) * BLOCK
@@ -230,7 +248,7 @@ class LeakFinder:
                 out[4][k] += 1
                 share = whole / len(item)
                 if share >= self.sequence and end >= self.answer * tail and (out[2][k] is None or share > out[2][k]):
-                    out[0][k], out[1][k], out[2][k], out[3][k] = True, self.bench.ids[i], share, float(along[row, i] / size[j])
+                    out[0][k], out[1][k], out[2][k], out[3][k] = True, self.bench.ids[i], share, float(np.float32(x) / size[j])
         return out
 
 
@@ -240,8 +258,8 @@ def leak_finder(
 ) -> LeakFinder:
     """Latent space of the corpus for a benchmark of at most MOST_ITEMS items.
 
-    `common` and `least` say which terms count, `cosine` and `coverage` which (passage, item) pairs are checked, `sequence`
-    and `answer` which shares of the item and of its last third must stand in the passage in order.
+    `common` and `least` say which terms count, `cosine` and `coverage` which (passage, item) pairs are checked (by any part of
+    the item), `sequence` and `answer` which shares of the whole item and of its last third must stand there in order.
     """
     rows = benchmark.select(item_col, utf8(item_text_col).alias("t")).where(F.col(item_col).isNotNull()).distinct().orderBy(item_col, "t").limit(MOST_ITEMS + 1).collect()
     if len(rows) > MOST_ITEMS:

@@ -391,6 +391,37 @@ def test_leaks(spark, docs, empty):
     assert latent.find_leaks(docs, bench.where("false")).where("contaminated").count() == 0
 
 
+def test_leaks_of_items_longer_than_a_passage(spark):
+    """Verbatim and paraphrased, with the parameters of op7_latent_leaks."""
+    r = np.random.default_rng(11)
+    vocabulary = [f"w{i}x" for i in range(20_000)]
+    weights = 1 / np.arange(10, 20_010)
+
+    def zipf(n):
+        return [vocabulary[i] for i in r.choice(20_000, n, p=weights / weights.sum())]
+
+    items = [(k, zipf((60, 130, 200, 400)[k % 4])) for k in range(40)]
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id long, text string")
+    leaks = []
+    for k, w in items:
+        other = list(w)
+        other[2::6] = ["other"] * len(other[2::6])  # one word in six is another
+        leaks += [(2 * k + j, " ".join(zipf(int(r.integers(0, 90))) + x + zipf(int(r.integers(0, 90))))) for j, x in enumerate((w, other))]
+    # A third of an item is no copy of it.
+    clean = [(1000 + k, " ".join(zipf(200))) for k in range(600)] + [(2000 + k, " ".join(zipf(70) + w[: len(w) // 3] + zipf(70))) for k, w in items]
+    got = {x["doc_id"]: x for x in latent.find_leaks(spark.createDataFrame(leaks + clean, DOCS), bench).collect()}
+    assert [k for k, _ in leaks if got[k]["item_id"] != k // 2] == []
+    assert not any(got[k]["contaminated"] for k, _ in clean)
+
+
+def test_parts_cover_an_item():
+    for n in (1, 63, 64, 65, 96, 97, 130, 400):
+        w = [b"%d" % i for i in range(n)]
+        cut = latent.parts(w)
+        assert {x for p in cut for x in p} == set(w) and all(len(p) == min(n, 64) for p in cut)
+        assert all(int(b[0]) - int(a[0]) <= 32 for a, b in zip(cut, cut[1:]))
+
+
 def test_lcs_by_bits():
     r = random.Random(2)
 
