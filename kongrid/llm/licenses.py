@@ -1,7 +1,7 @@
 """License scan: exact containment join of text blocks with license templates.
 
-A block is a line, or a window of a long line. A template matches a block that holds at least the threshold share of its
-distinct tokens. Tokens are ordered by how many documents of the whole corpus hold them, rarest first. To reach an overlap
+A block is a line, a window of a long line, or a window of the words of the whole text, as notices are often wrapped over
+lines. A template matches a block that holds at least the threshold share of its distinct tokens. Tokens are ordered by how many documents of the whole corpus hold them, rarest first. To reach an overlap
 of k, a block must hold one of the first n - k + 1 tokens of a template of n (prefix filter), at least k distinct tokens
 (length filter), and enough tokens from the first hit's position on (positional filter); what is left is counted exactly.
 """
@@ -61,17 +61,28 @@ def base_places(tokens: list[bytes], phrases: list[tuple[bytes, str]]) -> tuple[
     return places, labels
 
 
-def blocks(text: bytes, window: int):
-    """Token lists of the lines; a line of more than `window` words gives windows of that many, half overlapping."""
+def _windows(tokens: list[bytes], window: int, start: int):
+    step = window // 2
+    for at in range(0, max(1, len(tokens) - step), step):
+        yield start + at, tokens[at : at + window]
+
+
+def placed_blocks(text: bytes, window: int):
+    """(position of the first word, tokens) of each block: lines, windows of `window` words, half overlapping, in place of a
+    longer line, then such windows over all words of a text of several lines."""
+    every, lines = [], 0
     for line in text.translate(_WORD).split(b"\n"):
-        tokens = line.split()
-        if len(tokens) <= window:
-            if tokens:
-                yield tokens
-        else:
-            step = window // 2
-            for at in range(0, len(tokens) - step, step):
-                yield tokens[at : at + window]
+        if tokens := line.split():
+            yield from _windows(tokens, window, len(every)) if len(tokens) > window else [(len(every), tokens)]
+            every += tokens
+            lines += 1
+    if lines > 1:
+        yield from _windows(every, window, 0)
+
+
+def blocks(text: bytes, window: int):
+    """Token lists of the blocks."""
+    return (tokens for _, tokens in placed_blocks(text, window))
 
 
 class Index:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -197,6 +198,25 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+@pytest.mark.parametrize("columns", [40, 72])
+def test_notices_wrapped_over_lines(spark, columns):
+    texts, names = [], list(licenses.TEMPLATES)
+    for k, t in enumerate(licenses.TEMPLATES.values()):
+        wrapped = textwrap.fill(prose(7 * k, k) + " " + t + " " + prose(40, k + 70), columns)
+        texts += [wrapped, wrapped.replace("\n", "\n# "), textwrap.fill(t, columns)]
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(df).collect()}
+    for k, text in enumerate(texts):
+        found, tokens = {m["label"]: m["containment"] for m in got[k]["matches"]}, re.findall("[a-z0-9]+", text.lower())
+        for label, t in licenses.TEMPLATES.items():
+            want, n = set(t.split()), len(t.split())
+            # Every run of the template's length, wherever lines end.
+            share = max(len(want & set(tokens[i : i + n])) for i in range(len(tokens))) / len(want)
+            assert share < 0.8 or found[label] >= share - 1e-9
+        own = names[k // 3]
+        assert found[own] == 1 and got[k]["score"] == 1
+
+
 # Line labels
 
 
