@@ -85,6 +85,42 @@ def blocks(text: bytes, window: int):
     return (tokens for _, tokens in placed_blocks(text, window))
 
 
+def places(tokens: list[bytes], held: set[bytes], start: int) -> list[tuple[int, int]]:
+    """The least ranges of words (first, end) that hold all of `held`."""
+    last: dict[bytes, int] = {}
+    out: list[tuple[int, int]] = []
+    for i, token in enumerate(tokens):
+        if token in held:
+            last[token] = i
+            if len(last) == len(held) and (not out or min(last.values()) + start > out[-1][0]):
+                out.append((min(last.values()) + start, i + 1 + start))
+    return out
+
+
+class Places:
+    """Where the templates of one text match, by template and matched tokens, with the containment reached there."""
+
+    def __init__(self):
+        self.found: dict[tuple[int, frozenset], tuple[float, set[tuple[int, int]]]] = {}
+
+    def add(self, t: int, share: float, held: frozenset, where: list[tuple[int, int]]) -> None:
+        self.found.setdefault((t, held), (share, set()))[1].update(where)
+
+    def labelled(self, sets: list[list[bytes]]) -> set[int]:
+        """The templates but those whose every match has its tokens inside a better match of another template: all of them
+        among its tokens, and at least half of the range of words in such ranges."""
+        rank = {key: (share, len(sets[key[0]]), key[0]) for key, (share, _) in self.found.items()}
+        kept: set[int] = set()
+        for (t, held), (_, where) in self.found.items():
+            if t in kept:
+                continue
+            better = [key for key in self.found if key[0] != t and held <= key[1] and rank[key] > rank[t, held]]
+            over = {i for key in better for a, b in self.found[key][1] for i in range(a, b)}
+            if any(2 * sum(i in over for i in range(a, b)) < b - a for a, b in where):
+                kept.add(t)
+        return kept
+
+
 class Index:
     """Templates as tokens in global order, and an inverted index over their prefixes."""
 
@@ -140,8 +176,9 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, base
     """One row per input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score, matches.
 
     `matches` holds (label, containment, block) of each template that a block reaches, with its best block's number.
-    Labels are those of base phrases and, for each block, of the template with the largest containment (then the longest):
-    "gnu general public" is not also labelled as the Affero notice that it nearly contains. The score is the best containment, 1
+    Labels are those of base phrases and of every template in `matches`, save one whose matched tokens all lie inside those of
+    another template that matches better (larger containment, then longer): "gnu general public" is not also labelled as the
+    Affero notice that it nearly contains. The score is the best containment, 1
     where a base phrase stands. Null and empty texts give zero counts, empty labels and score 0. Other columns are ignored.
     """
     templates, base = templates or TEMPLATES, BASE if base is None else base
@@ -155,20 +192,20 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, base
         out = [[] for _ in range(9)]
         for key, text in zip(*columns):
             tokens = words(text)
-            places, found = base_places(tokens, phrases)
+            at, found = base_places(tokens, phrases)
             best: dict[int, tuple[float, int]] = {}
-            every = set(found)
+            every, where = set(found), Places()
             if not index.known.isdisjoint(tokens):
-                for k, block in enumerate(blocks(text, window)):
-                    reached = index.matches(block)
-                    for t, share in reached.items():
+                for k, (start, block) in enumerate(placed_blocks(text, window)):
+                    for t, share in index.matches(block).items():
                         if share > best.get(t, (0.0, 0))[0]:
                             best[t] = (share, k)
-                    if reached:
-                        every.add(index.labels[max(reached, key=lambda t: (reached[t], len(index.sets[t]), t))])
+                        held = frozenset(index.sets[t]).intersection(block)
+                        where.add(t, share, held, places(block, held, start))
+                every.update(index.labels[t] for t in where.labelled(index.sets))
             matches = [{"label": index.labels[t], "containment": s, "block": k} for t, (s, k) in sorted(best.items())]
-            score = 1.0 if places else max((s for s, _ in best.values()), default=0.0)
-            row = (key, len(tokens), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(found)), ",".join(sorted(every)), score, matches)
+            score = 1.0 if at else max((s for s, _ in best.values()), default=0.0)
+            row = (key, len(tokens), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(found)), ",".join(sorted(every)), score, matches)
             for column, value in zip(out, row):
                 column.append(value)
         return out

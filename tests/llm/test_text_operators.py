@@ -198,6 +198,11 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def label_sets(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), DOCS)
+    return {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in licenses.scan_licenses(df, base={}).collect()}
+
+
 @pytest.mark.parametrize("columns", [40, 72])
 def test_notices_wrapped_over_lines(spark, columns):
     texts, names = [], list(licenses.TEMPLATES)
@@ -214,7 +219,21 @@ def test_notices_wrapped_over_lines(spark, columns):
             share = max(len(want & set(tokens[i : i + n])) for i in range(len(tokens))) / len(want)
             assert share < 0.8 or found[label] >= share - 1e-9
         own = names[k // 3]
-        assert found[own] == 1 and got[k]["score"] == 1
+        assert found[own] == 1 and own in got[k]["labels"].split(",") and got[k]["score"] == 1
+        assert not {"agpl-notice", "cc-by-notice"} - {own} & set(got[k]["labels"].split(","))
+
+
+def test_two_notices_on_one_line(spark):
+    apache, mit = "Licensed under the Apache License, Version 2.0", "released under the MIT license"
+    gpl, agpl = "This work is licensed under the GNU General Public License version 3.", "Licensed under the GNU Affero General Public License version 3"
+    by, nc = "Licensed under CC BY 4.0", "licensed under CC BY-NC 4.0"
+    texts = {
+        f"{apache} or {mit}": {"apache-notice", "mit-notice"}, f"{prose(70, 1)} {mit} {prose(3, 2)} {apache} {prose(70, 3)}": {"apache-notice", "mit-notice"},
+        gpl: {"gpl-notice"}, f"{prose(26, 4)} {gpl} {prose(80, 5)}": {"gpl-notice"}, f"{gpl} {prose(4, 6)} {agpl}": {"gpl-notice", "agpl-notice"}, agpl: {"agpl-notice"},
+        by: {"cc-by-notice"}, nc: {"cc-by-nc-notice"}, f"{by} {prose(3, 7)} {nc}": {"cc-by-notice", "cc-by-nc-notice"}, f"{prose(20, 8)}": set(),
+    }
+    got = label_sets(spark, list(texts))
+    assert [got[k] for k in range(len(texts))] == list(texts.values())
 
 
 # Line labels
