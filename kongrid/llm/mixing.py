@@ -29,7 +29,7 @@ MOST_LOGIT = 8.0
 
 
 def token_buckets(text: Column, buckets: int = BUCKETS) -> Column:
-    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), " "), "")
+    words = F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0d]+"), "")
     return F.transform(words, lambda w: F.pmod(F.xxhash64(w), F.lit(buckets)).cast("int"))
 
 

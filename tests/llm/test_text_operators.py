@@ -530,6 +530,16 @@ def test_mixing_meets_targets(spark, docs, empty):
     assert mixing.mixing_rates(df, plain).count() == 400
 
 
+def test_words_are_split_at_all_white_space(spark):
+    plain = prose(300, 9)
+    rows = [(1, plain)] + [(2 + k, plain.replace(" ", c)) for k, c in enumerate(["\n", "\t", "\r\n", "\x0b", "\x0c", " \n "])] + [(8, "\n" + plain + "\n")]
+    df = spark.createDataFrame(rows, DOCS)
+    got = df.select(mixing.token_buckets(F.col("text")).alias("b")).collect()
+    assert len(got[0]["b"]) == 300 and all(r["b"] == got[0]["b"] for r in got)
+    model = mixing.fit_mixture(df, spark.createDataFrame([(1, "fine")], "doc_id long, domain string"), {"fine": 0.5, "bad": 0.5})
+    assert {r["n_tokens"] for r in mixing.fitted_rates(model).collect()} == {300}
+
+
 def test_joins_beyond_the_broadcast_limit(spark):
     left = spark.createDataFrame([(k % 7, k) for k in range(200)] + [(None, 1)], "k long, v long")
     stats = left.where("k <> 3").groupBy("k").agg(F.count("*").alias("n"))
