@@ -1,6 +1,8 @@
 """Mixing to target weights with soft domains, in DataFrame functions only.
 
-A naive Bayes model over the hashed words that a document has, counted from a table of labelled documents, gives each document's domain posteriors.
+A naive Bayes model over the hashed words that a document has, counted from a table of labelled documents, gives each document's
+domain posteriors. Their prior is that of the corpus and not of the labelled documents: it is found by expectation maximisation
+over all documents.
 Rates r >= 0 are sought for all documents so that the expected tokens of each domain, sum of r * tokens * posterior, meet
 the targets: least squares over relative errors, by projected gradient. A step moves every document by a combination of its
 posteriors, so the whole course of the descent is a short list of vectors; a round sums (tokens, posteriors) rows with that list
@@ -10,7 +12,7 @@ in a column expression, and no rates are kept between rounds.
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from math import copysign, log
 
 from pyspark.sql import Column, DataFrame
@@ -43,21 +45,41 @@ class DomainModel:
     prior: list[float]  # log odds against the first domain
     weights: list[list[float]]  # per further domain, log odds of each bucket
 
-    def add(self, docs: DataFrame, text: Column) -> DataFrame:
-        """`docs` with _mix_tokens and _mix_p0, _mix_p1, ...: posteriors in the order of the domains. Each step is a projection
-        of its own, so that nothing is computed twice."""
-        n = len(self.domains)
+    def evidence(self, docs: DataFrame, text: Column) -> DataFrame:
+        """`docs` with _mix_tokens and _mix_e1, ...: log odds against the first domain, without the prior. Each step is a
+        projection of its own, so that nothing is computed twice."""
         docs = docs.withColumn("_mix_all", token_buckets(text))
         docs = docs.withColumns({"_mix_b": F.array_distinct("_mix_all"), "_mix_tokens": F.size("_mix_all").cast("double")}).drop("_mix_all")
-        odds = {"_mix_o0": F.lit(1.0)}
-        for k in range(1, n):
+        sums = {}
+        for k in range(1, len(self.domains)):
             table = F.from_json(F.lit(json.dumps(self.weights[k])), "array<double>")
-            total = F.aggregate(F.transform("_mix_b", _looked_up(table)), F.lit(self.prior[k]), lambda a, b: a + b)
-            odds[f"_mix_o{k}"] = F.exp(F.least(F.greatest(total, F.lit(-MOST_LOGIT)), F.lit(MOST_LOGIT)))
-        docs = docs.withColumns(odds).drop("_mix_b")
+            sums[f"_mix_e{k}"] = F.aggregate(F.transform("_mix_b", _looked_up(table)), F.lit(0.0), lambda a, b: a + b)
+        return docs.withColumns(sums).drop("_mix_b")
+
+    def posteriors(self, rows: DataFrame) -> DataFrame:
+        """`rows` of `evidence` with _mix_p0, _mix_p1, ... in its place: posteriors in the order of the domains."""
+        n, most = len(self.domains), F.lit(MOST_LOGIT)
+        odds = {"_mix_o0": F.lit(1.0)} | {f"_mix_o{k}": F.exp(F.least(F.greatest(F.col(f"_mix_e{k}") + F.lit(self.prior[k]), -most), most)) for k in range(1, n)}
+        docs = rows.withColumns(odds).drop(*[f"_mix_e{k}" for k in range(1, n)])
         whole = sum((F.col(f"_mix_o{k}") for k in range(1, n)), F.col("_mix_o0"))
         return docs.withColumns({f"_mix_p{k}": F.col(f"_mix_o{k}") / whole for k in range(n)}).drop(*odds)
 
+    def with_prior_of(self, rows: DataFrame, rounds: int = 40, tolerance: float = 1e-4) -> DomainModel:
+        """The model with the prior that makes the evidence of `rows` likeliest: one sum of posteriors a round, over rows with
+        tokens, until no domain's share moves by more than `tolerance` of itself."""
+        model, n, some = self, len(self.domains), rows.where("_mix_tokens > 0")
+        before = [0.0] * n
+        for _ in range(rounds):
+            sums = model.posteriors(some).agg(F.count("*").alias("n"), *[F.sum(f"_mix_p{k}").alias(f"s{k}") for k in range(n)]).first()
+            if not sums["n"]:
+                return model
+            shares = [max(sums[f"s{k}"], 0.5) / sums["n"] for k in range(n)]
+            model = replace(model, prior=[log(x / shares[0]) for x in shares])
+            if all(abs(x - y) <= tolerance * x for x, y in zip(shares, before)):
+                break
+            before = shares
+        return model
+
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int = LABELLED, id_col: str = "doc_id", text_col: str = "text") -> DomainModel:
     """Count `labelled` (doc_id, domain) documents, at most `rows` by hash of the id; buckets x domains counts reach the driver."""
@@ -135,7 +157,7 @@ def solve_rates(rows: DataFrame, weights: list[float], total: float | None = Non
 class Mixture:
     model: DomainModel
     steps: list[list[float]]
-    rows: DataFrame  # id, _mix_u, _mix_tokens and _mix_p* of the documents that it was fitted on, written
+    rows: DataFrame  # id, _mix_u, _mix_tokens and _mix_p* of the documents that it was fitted on, from a written table
     id_col: str
 
     def rated(self, rows: DataFrame, dead_zone: float) -> DataFrame:
@@ -151,15 +173,17 @@ class Mixture:
 
 
 def _scored(docs: DataFrame, model: DomainModel, id_col: str, text_col: str) -> DataFrame:
-    """`docs` with _mix_u (a number in 0 to 1 by hash of id and text), _mix_tokens and _mix_p*."""
+    """`docs` with _mix_u (a number in 0 to 1 by hash of id and text), _mix_tokens and _mix_e*."""
     u = F.pmod(F.xxhash64(id_col, text_col, F.lit("mix")), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return model.add(docs.withColumn("_mix_u", u), F.col(text_col))
+    return model.evidence(docs.withColumn("_mix_u", u), F.col(text_col))
 
 
 def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], total: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> Mixture:
     """Domain model and descent for target weights by domain (the first domain is the reference); see `solve_rates`."""
     model = fit_domains(docs, labelled, list(targets), id_col=id_col, text_col=text_col)
-    rows = cut(_scored(docs.select(id_col, F.col(text_col).alias("_mix_text")), model, id_col, "_mix_text").drop("_mix_text"))
+    written = cut(_scored(docs.select(id_col, F.col(text_col).alias("_mix_text")), model, id_col, "_mix_text").drop("_mix_text"))
+    model = model.with_prior_of(written)
+    rows = model.posteriors(written)
     return Mixture(model, solve_rates(rows, list(targets.values()), total), rows, id_col)
 
 
@@ -174,13 +198,13 @@ def mixing_rates(docs: DataFrame, mixture: Mixture, dead_zone: float = 0.05, id_
     Null and empty texts have no tokens and the prior's posteriors. Domains without a labelled document get next to no
     posterior. Repeated rows give equal rows; an empty table gives no rows; other columns are ignored.
     """
-    rows = _scored(docs.select(id_col, F.col(text_col).alias("_mix_text")), mixture.model, id_col, "_mix_text")
+    rows = mixture.model.posteriors(_scored(docs.select(id_col, F.col(text_col).alias("_mix_text")), mixture.model, id_col, "_mix_text"))
     return mixture.shown(mixture.rated(rows, dead_zone), id_col)
 
 
 def mixed(docs: DataFrame, mixture: Mixture, dead_zone: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, each repeated by its copies (none for 0), with their own columns."""
-    added = mixture.rated(_scored(docs, mixture.model, id_col, text_col), dead_zone)
+    added = mixture.rated(mixture.model.posteriors(_scored(docs, mixture.model, id_col, text_col)), dead_zone)
     return added.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies"))).alias("_mix_one")).drop("_mix_one")
 
 

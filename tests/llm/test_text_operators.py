@@ -530,6 +530,21 @@ def test_mixing_meets_targets(spark, docs, empty):
     assert mixing.mixing_rates(df, plain).count() == 400
 
 
+def test_mixing_with_labels_that_over_represent_a_domain(spark):
+    """Every second id is labelled, so half of the labels are bad, but a quarter of the documents."""
+    r = [(k, prose(60, k) + (" awful nasty vile" * (2 + k % 3) if k % 4 == 0 else "")) for k in range(400)]
+    df = spark.createDataFrame(r, DOCS).repartition(3)
+    marks = spark.createDataFrame([(k, "bad" if k % 4 == 0 else "fine") for k in range(0, 400, 2)] + [(None, "bad"), (7, "unknown")], "doc_id long, domain string")
+    mixture = mixing.fit_mixture(df, marks, {"fine": 0.95, "bad": 0.05})
+    got = mixing.mixing_rates(df, mixture).toPandas()
+    assert got.p_bad.mean() == pytest.approx(0.25, abs=0.03)
+    assert (got[got.doc_id % 4 == 0].p_bad > 0.5).all() and (got[got.doc_id % 4 != 0].p_bad < 0.2).all()
+    mass = {d: (got[f"p_{d}"] * got.n_tokens * got.rate).sum() for d in ("fine", "bad")}
+    assert mass["bad"] / sum(mass.values()) == pytest.approx(0.05, abs=0.002) and (got.rate >= 0).all()
+    assert mass["fine"] == pytest.approx((got.p_fine * got.n_tokens).sum(), rel=0.01)
+    assert (got[got.doc_id % 4 != 0].copies == 1).all()
+
+
 def test_words_are_split_at_all_white_space(spark):
     plain = prose(300, 9)
     rows = [(1, plain)] + [(2 + k, plain.replace(" ", c)) for k, c in enumerate(["\n", "\t", "\r\n", "\x0b", "\x0c", " \n "])] + [(8, "\n" + plain + "\n")]
