@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from kongrid.llm.archives import archive_round_trip
 from kongrid.llm.common import table
+from kongrid.llm.crosswalk import align_tokens
+from kongrid.llm.forest import nearest
 from kongrid.llm.latent import find_leaks
 from kongrid.llm.licenses import scan_licenses
 from kongrid.llm.lines import judge_lines, train_field
 from kongrid.llm.mixing import fit_mixture, fitted_rates, label_domains
+from kongrid.llm.orchard import compress
 from kongrid.llm.quality import score_quality, train_quality
 from kongrid.llm.repeats import strip_repeats
 from kongrid.llm.sharding import shard_minimax
@@ -60,12 +63,25 @@ def op8_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_prefix_free_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strip_repeats(table(spark, sf_dir, "documents"), 400).drop("spans", "kept")
+    return strip_repeats(table(spark, sf_dir, "documents"), 400).drop("kept")
 
 
 def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_round_trip(table(spark, sf_dir, "pages"), 0).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_pu, op2_url_rules, op3_line_crf, op4_minimax_shards, op5_license_join, op6_soft_mixing, op7_latent_leaks, op8_simhash_popcount, op9_prefix_free_parse, op10_arc_to_warc)}
+def op11_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), 5, 50)
+
+
+def op12_merge_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokens(table(spark, sf_dir, "documents"))[0]
+
+
+def op13_orchard_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress(table(spark, sf_dir, "embeddings"))
+
+
+FIRST = (op1_quality_pu, op2_url_rules, op3_line_crf, op4_minimax_shards, op5_license_join, op6_soft_mixing, op7_latent_leaks, op8_simhash_popcount, op9_prefix_free_parse, op10_arc_to_warc)
+QUERIES = {f.__name__: f for f in (*FIRST, op11_prefix_forest, op12_merge_path, op13_orchard_codes)}
 SQL: dict[str, str] = {}
