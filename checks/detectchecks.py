@@ -41,7 +41,7 @@ def ag7r(spark, sf):
 @query("ag8_circular_signature")
 def ag8(spark, sf):
     dials, p = A.supplier_dials(spark, sf)
-    return rounded(detect.circular_signature(dials, p.select("grid_id", "cx", "cy", "r"), 360), "v")
+    return rounded(detect.circular_signature(dials, p.select("grid_id", "cx", "cy", "r")), "v")
 
 
 @query("ag8_rotation_recovery", "SELECT CAST(s_suppkey AS VARCHAR) AS pair_id, true AS rotation_ok, true AS score_ok FROM supplier")
@@ -50,9 +50,9 @@ def ag8r(spark, sf):
     ref, rp = A.supplier_dials(spark, sf, grid_id=F.concat(F.lit("r"), k), rotation=F.lit(0.0))
     cand, cp = A.supplier_dials(spark, sf, grid_id=F.concat(F.lit("c"), k))
     anchors = rp.unionByName(cp).select("grid_id", "cx", "cy", "r")
-    sig = detect.circular_signature(ref.unionByName(cand), anchors, 720)
+    sig = detect.circular_signature(ref.unionByName(cand), anchors)
     pairs = cp.select(F.substring("grid_id", 2, 20).alias("pair_id"), F.concat(F.lit("r"), F.substring("grid_id", 2, 20)).alias("ref_id"), F.col("grid_id").alias("cand_id"), F.col("rotation").alias("truth"))
-    best = P.circular_xcorr(P.pack_profiles(sig, 720), pairs, 720, 15.0)
+    best = P.circular_xcorr(P.pack_profiles(sig, 1440), pairs, 1440, 15.0)
     return best.select("pair_id", (F.abs(geo.wrap180(-F.col("degrees") - F.col("truth"))) <= 1.0).alias("rotation_ok"), (F.col("score") > 0.4).alias("score_ok"))
 
 
@@ -163,8 +163,8 @@ def couples(spark, sf, **over):
 def al3(spark, sf):
     k = F.col("s_suppkey")
     ref, rp, cand, cp, pairs = couples(spark, sf, rotation=F.lit(0.0), r=(28.0 + k % 4) * F.when(k % 2 == 0, 0.9).otherwise(1.08), cx=48.0 + k % 7 - 1, cy=47.0 + k % 5 - 5)
-    maps = [nb.feature_map(g, "dial", side=96) for g in (ref, cand)]
-    s = search.scale_shift_search(maps[0], maps[1], pairs, rp.select("grid_id", "cx", "cy", "r"), side=96)
+    maps = [nb.feature_map(g, "dial") for g in (ref, cand)]
+    s = search.scale_shift_search(maps[0], maps[1], pairs, rp.select("grid_id", "cx", "cy", "r"))
     t = s.withColumn("k", F.col("pair_id").cast("long"))
     px, py = geo.apply_transform(48.0 + F.col("k") % 7 - 1, 47.0 + F.col("k") % 5 - 5, F.col("m"))
     truth = F.when(F.col("k") % 2 == 0, 1 / 0.9).otherwise(1 / 1.08)
@@ -177,13 +177,76 @@ def al4(spark, sf):
     k = F.col("s_suppkey")
     ref, rp, cand, cp, pairs = couples(spark, sf, rotation=F.lit(1.0), cx=48.0 + k % 7 - 2, cy=47.0 + k % 5 - 4)
     maps = [nb.feature_map(g, "gradient") for g in (ref, cand)]
-    s = search.refine_local(maps[0], maps[1], pairs, rp.select("grid_id", "cx", "cy", "r"), side=96)
+    s = search.refine_local(maps[0], maps[1], pairs, rp.select("grid_id", "cx", "cy", "r"))
     t = s.withColumn("k", F.col("pair_id").cast("long"))
     px, py = geo.apply_transform(48.0 + F.col("k") % 7 - 2, 47.0 + F.col("k") % 5 - 4, F.col("m"))
     miss = F.hypot(px - (48.0 + F.col("k") % 7 - 3), py - (47.0 + F.col("k") % 5 - 2))
     return t.select("pair_id", (miss <= 1.5).alias("shift_ok"), (F.abs(F.col("rotation") - 1.0) <= 1.0).alias("rotation_ok"), "applied")
 
 
+# A patch turned and scaled about its middle, sampled bilinearly; `t` has (k, s, a): preference, scale and degrees.
+TURN = """p AS (SELECT k, s, a, y, x, cos(radians(a)) / s * (x - 3.5) - sin(radians(a)) / s * (y - 3.5) + 3.5 AS sx, sin(radians(a)) / s * (x - 3.5) + cos(radians(a)) / s * (y - 3.5) + 3.5 AS sy
+  FROM t CROSS JOIN (SELECT CAST(unnest(range(8)) AS INTEGER) AS y) CROSS JOIN (SELECT CAST(unnest(range(8)) AS INTEGER) AS x)),
+q AS (SELECT *, CAST(least(floor(sx), 6) AS INTEGER) AS x0, CAST(least(floor(sy), 6) AS INTEGER) AS y0 FROM p WHERE sx BETWEEN 0 AND 7 AND sy BETWEEN 0 AND 7)"""
+
+
+def turned_sql(name, shifts, steps, min_cells=20):
+    """Correlation of every even patch with the next one, turned by each row of `steps` and moved by each of `shifts`."""
+    return f"""{name}m AS (SELECT c.grid_id - 1 AS grid_id, k, s, a, q.y, q.x, (c.v * (1 - sx + x0) + d.v * (sx - x0)) * (1 - sy + y0) + (e.v * (1 - sx + x0) + f.v * (sx - x0)) * (sy - y0) AS w
+  FROM {steps} q JOIN g2 c ON c.y = y0 AND c.x = x0 JOIN g2 d ON d.grid_id = c.grid_id AND d.y = y0 AND d.x = x0 + 1
+  JOIN g2 e ON e.grid_id = c.grid_id AND e.y = y0 + 1 AND e.x = x0 JOIN g2 f ON f.grid_id = c.grid_id AND f.y = y0 + 1 AND f.x = x0 + 1 WHERE c.grid_id % 2 = 1),
+{name}c AS (SELECT r.grid_id, k, s, a, dx, dy, count(*) AS cells, CASE WHEN count(*) >= {min_cells} THEN round(coalesce(corr(r.v, m.w), 0), 9) ELSE 0 END AS score
+  FROM {name}m m CROSS JOIN (SELECT CAST(unnest(range(-{shifts}, {shifts + 1})) AS INTEGER) AS dx) CROSS JOIN (SELECT CAST(unnest(range(-{shifts}, {shifts + 1})) AS INTEGER) AS dy)
+  JOIN g2 r ON r.grid_id = m.grid_id AND r.y = m.y + dy AND r.x = m.x + dx GROUP BY 1, 2, 3, 4, 5, 6),
+{name}b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY score DESC, k, abs(dx) + abs(dy), dy, dx) AS n FROM {name}c) WHERE n = 1)"""
+
+
+def middles(pairs):
+    return pairs.select(F.col("ref_id").alias("grid_id"), F.lit(3.5).alias("cx"), F.lit(3.5).alias("cy"), F.lit(100.0).alias("r"))
+
+
+# Every shift of whole cells is scored; the parabola through the best score and its two neighbours gives the rest.
+@query("al2_peak", f"""WITH {G2}, sh AS (SELECT CAST(a AS INTEGER) AS dx, CAST(b AS INTEGER) AS dy FROM (SELECT unnest(range(-3, 4)) AS a) CROSS JOIN (SELECT unnest(range(-3, 4)) AS b)),
+c AS (SELECT r.grid_id, dx, dy, count(*) AS cells, round(coalesce(corr(r.v, c.v), 0), 9) AS score FROM g2 r CROSS JOIN sh JOIN g2 c ON c.grid_id = r.grid_id + 1 AND c.y = r.y - dy AND c.x = r.x - dx WHERE r.grid_id % 2 = 0 GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY score DESC, abs(dx) + abs(dy), dy, dx) AS n FROM c WHERE abs(dx) <= 2 AND abs(dy) <= 2),
+f AS (SELECT k.*, a.score AS xa, b.score AS xb, d.score AS ya, e.score AS yb FROM k JOIN c a ON a.grid_id = k.grid_id AND a.dx = k.dx - 1 AND a.dy = k.dy JOIN c b ON b.grid_id = k.grid_id AND b.dx = k.dx + 1 AND b.dy = k.dy
+  JOIN c d ON d.grid_id = k.grid_id AND d.dx = k.dx AND d.dy = k.dy - 1 JOIN c e ON e.grid_id = k.grid_id AND e.dx = k.dx AND e.dy = k.dy + 1 WHERE n = 1)
+SELECT grid_id || '|' || (grid_id + 1) AS pair_id, round(dx + CASE WHEN xa - 2 * score + xb < 0 THEN greatest(-0.5, least(0.5, 0.5 * (xa - xb) / (xa - 2 * score + xb))) ELSE 0.0 END, 5) AS peak_dx,
+ round(dy + CASE WHEN ya - 2 * score + yb < 0 THEN greatest(-0.5, least(0.5, 0.5 * (ya - yb) / (ya - 2 * score + yb))) ELSE 0.0 END, 5) AS peak_dy FROM f""")
+def al2_peak(spark, sf):
+    from checks.gridchecks import patch_pairs
+
+    g, pairs = patch_pairs(spark, sf)
+    s = search.shift_search(g, g, pairs, 2, side=8, outer=1e9, min_cells=20)
+    return rounded(s.select("pair_id", "peak_dx", "peak_dy"), "peak_dx", "peak_dy", n=5)
+
+
+@query("al3_patches", f"""WITH {G2}, t AS (SELECT k, round(0.70 + 0.02 * k, 6) AS s, 0.0 AS a FROM (SELECT unnest(range(41)) AS k)), {TURN}, {turned_sql('o', 2, 'q')},
+ft AS (SELECT grid_id AS g, j AS k, round(greatest(0.68, s - 0.035) + 0.002 * j, 6) AS s, 0.0 AS a FROM ob CROSS JOIN (SELECT unnest(range(40)) AS j) WHERE greatest(0.68, s - 0.035) + 0.002 * j < least(1.52, s + 0.035) + 0.0001),
+fp AS (SELECT g, k, s, a, y, x, (x - 3.5) / s + 3.5 AS sx, (y - 3.5) / s + 3.5 AS sy FROM ft CROSS JOIN (SELECT CAST(unnest(range(8)) AS INTEGER) AS y) CROSS JOIN (SELECT CAST(unnest(range(8)) AS INTEGER) AS x)),
+fq AS (SELECT *, CAST(least(floor(sx), 6) AS INTEGER) AS x0, CAST(least(floor(sy), 6) AS INTEGER) AS y0 FROM fp WHERE sx BETWEEN 0 AND 7 AND sy BETWEEN 0 AND 7),
+{turned_sql('f', 2, 'fq').replace("c.grid_id % 2 = 1", "c.grid_id = g + 1")}
+SELECT ob.grid_id || '|' || (ob.grid_id + 1) AS pair_id, CAST(CASE WHEN fb.score > ob.score THEN fb.s ELSE ob.s END AS DOUBLE) AS scale, CAST(CASE WHEN fb.score > ob.score THEN fb.dx ELSE ob.dx END AS DOUBLE) AS dx,
+ CAST(CASE WHEN fb.score > ob.score THEN fb.dy ELSE ob.dy END AS DOUBLE) AS dy, CASE WHEN fb.score > ob.score THEN fb.cells ELSE ob.cells END AS cells, round(greatest(fb.score, ob.score), 6) AS score FROM ob JOIN fb USING (grid_id)""")
+def al3_patches(spark, sf):
+    from checks.gridchecks import patch_pairs
+
+    g, pairs = patch_pairs(spark, sf)
+    s = search.scale_shift_search(g, g, pairs, middles(pairs), inner=0.0, min_cells=20)
+    return rounded(s.select("pair_id", "scale", "dx", "dy", "cells", "score"), "score")
+
+
+@query("al4_patches", f"""WITH {G2}, t AS (SELECT s, a, row_number() OVER (ORDER BY abs(s - 1) + abs(a) / 50, s, a) AS k FROM (SELECT unnest([0.97, 0.98, 0.99, 1.0, 1.01, 1.02, 1.03])::DOUBLE AS s)
+  CROSS JOIN (SELECT unnest([-2.0, -1.0, -0.5, 0.0, 0.5, 1.0, 2.0])::DOUBLE AS a)), {TURN}, {turned_sql('o', 1, 'q')}
+SELECT grid_id || '|' || (grid_id + 1) AS pair_id, s AS scale, a AS rotation, CAST(dx AS DOUBLE) AS dx, CAST(dy AS DOUBLE) AS dy, cells, round(score, 6) AS score FROM ob""")
+def al4_patches(spark, sf):
+    from checks.gridchecks import patch_pairs
+
+    g, pairs = patch_pairs(spark, sf)
+    s = search.refine_local(g, g, pairs, middles(pairs), inner=0.0, min_cells=20)
+    return rounded(s.select("pair_id", "scale", "rotation", "dx", "dy", "cells", "score"), "score")
+
+
 @query("al6_detect_anchor", "SELECT CAST(s_suppkey AS VARCHAR) AS grid_id, true AS center_ok, true AS radius_ok FROM supplier")
 def al6(spark, sf):
     dials, p = A.supplier_dials(spark, sf)
