@@ -40,19 +40,23 @@ def attach_small(rows: DataFrame, table: DataFrame, on: list[str], how: str = "i
     small = table.count() <= (BROADCAST_ROWS if limit is None else limit)
     return rows.join(F.broadcast(table) if small else table, on, how)
 
-def multicast(rows: DataFrame, table: DataFrame, on: str, uses: int = 16) -> DataFrame:
-    """Inner-join a keyed `table` of wide rows, or of many rows per key, onto `rows` that may share a key without bound.
+def multicast(rows: DataFrame, table: DataFrame, on: str | list[str], uses: int = 16, how: str = "inner") -> DataFrame:
+    """Join a keyed `table` of wide rows, or of many rows per key, onto `rows` that may share a key without bound.
 
     Uses of each key are counted; a key gets one copy of its table rows per `uses` of them, and its uses are dealt over the
     copies by hash. So no task meets more than about `uses` rows of a key, and copies add at most 1/uses of what the join
-    returns anyway. Nothing is broadcast but the counts, and those by `attach_small`.
+    returns anyway. Only the counts are broadcast, by their number; beyond it both sides are joined with them by key, the
+    rows after hot keys of theirs have been taken out (`attach`). `how` is inner or left.
     """
+    on = [on] if isinstance(on, str) else list(on)
     rows = rows.withColumn("_k", F.xxhash64(*rows.columns))
-    parts = rows.groupBy(on).agg(F.count("*").alias("_n")).select(on, F.ceil(F.col("_n") / uses).cast("int").alias("_parts"))
-    parts = cut(parts.where("_parts > 1"))
-    # Keys with several parts: fewer than the rows divided by `uses`, so their number is counted before it is broadcast.
-    small = parts.count() <= BROADCAST_ROWS
-    few = F.broadcast(parts) if small else parts
-    dealt = rows.join(few, on, "left").withColumn("_copy", F.pmod("_k", F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts", "_k")
-    copies = table.join(few, on, "left").withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
-    return dealt.join(copies, [on, "_copy"]).drop("_copy")
+    counts = rows.groupBy(*on).agg(F.count("*").alias("_n")).withColumn("_parts", F.ceil(F.col("_n") / uses).cast("int"))
+    counts = cut(counts.where("_parts > 1"))
+    if counts.count() <= BROADCAST_ROWS:
+        dealt = rows.join(F.broadcast(counts.drop("_n")), on, "left")
+    else:
+        dealt = attach(rows, counts, on, "_n").drop("_n").unionByName(rows.join(counts.select(*on), on, "left_anti").withColumn("_parts", F.lit(1)))
+    dealt = dealt.withColumn("_copy", F.pmod("_k", F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts", "_k")
+    copies = attach_small(table, counts.drop("_n"), on, "left")
+    copies = copies.withColumn("_copy", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return dealt.join(copies, [*on, "_copy"], how).drop("_copy")
