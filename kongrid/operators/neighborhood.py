@@ -11,6 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,81 +199,88 @@ def thin_edges(grid: DataFrame, v: str = "v", keys: list[str] = KEYS) -> DataFra
     return g.withColumn("is_ridge", ridge).drop("_ml", "_mr", "_lu", "_ld", "_cu", "_cd", "_ru", "_rd")
 
 
-def edge_cells(
-    grid: DataFrame, low: float = 70.0, high: float = 160.0, v: str = "v", keys: list[str] = KEYS, max_rounds: int = 64
-) -> DataFrame:
-    """Cells of the grid with `edge`: ridges above `high`, and ridges above `low` connected to them.
-
-    Linking grows from the strong cells over the (sparse) weak ones until nothing changes; each round
-    is written out, so lineage stays short. When `max_rounds` growth steps were not enough the walk
-    continues with connected components found by label doubling, so the result is always complete.
-    """
+def edge_cells(grid: DataFrame, low: float = 70.0, high: float = 160.0, v: str = "v", keys: list[str] = KEYS) -> DataFrame:
+    """Cells of the grid with `edge`: ridges above `high`, and ridges above `low` connected to them."""
     g = cut(thin_edges(grid, v, keys).select(*grid.columns, "mag", "is_ridge"))
     state = F.when(F.col("is_ridge") & (F.col("mag") > high), 2).when(F.col("is_ridge") & (F.col("mag") > low), 1)
     ridge = g.withColumn("state", state).where(F.col("state").isNotNull()).select(*keys, "y", "x", "state")
-    strong, weak = ridge.where("state = 2").drop("state"), ridge.where("state = 1").drop("state")
-    linked = link(strong, weak, keys, max_rounds)
+    linked = link(ridge.where("state = 2").drop("state"), ridge.where("state = 1").drop("state"), keys)
     marks = linked.withColumn("edge", F.lit(True))
     out = g.drop("mag", "is_ridge").join(marks, [*keys, "y", "x"], "left")
     return out.withColumn("edge", F.coalesce("edge", F.lit(False)))
 
 
-def link(strong: DataFrame, weak: DataFrame, keys: list[str] = KEYS, max_rounds: int | None = None) -> DataFrame:
-    """All strong cells and every weak cell that touches them through weak cells (8-neighbourhood)."""
-    near = F.sequence(F.lit(-1), F.lit(1))
-    cell = [*keys, "y", "x"]
+def connected(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest member of each node's component under links (a, b): smallest labels meet at roots, chains are halved."""
+    label = np.arange(n)
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        open_ = low < high
+        if not open_.any():
+            break
+        a, b = a[open_], b[open_]
+        np.minimum.at(label, high[open_], low[open_])
+        while (label[label] != label).any():
+            label = label[label]
+    return label
 
-    def around(cells):
-        c = cells.withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near))
-        return c.select(*keys, (F.col("y") + F.col("_dy")).alias("y"), (F.col("x") + F.col("_dx")).alias("x")).distinct()
 
-    done, front, left = [strong], strong, cut(weak)
-    rounds = 0
-    while True:
-        hit = cut(left.join(around(front), cell, "left_semi"))
-        if hit.isEmpty():
-            break
-        done.append(hit)
-        left = cut(left.join(hit, cell, "left_anti"))
-        front = hit
-        rounds += 1
-        if max_rounds is not None and rounds >= max_rounds:
-            done.append(_components_touching(front, left, keys))
-            break
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+def _tile_parts(y: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Component (number of its first cell) of each cell of one tile under the 8-neighbourhood."""
+    place = np.full((int(y.max()) + 3, int(x.max()) + 3), -1)
+    place[y + 1, x + 1] = np.arange(len(y))
+    pairs = [(np.arange(len(y)), place[y + 1 + dy, x + 1 + dx]) for dy, dx in ((0, 1), (1, -1), (1, 0), (1, 1))]
+    a, b = (np.concatenate(c) for c in zip(*pairs))
+    return connected(len(y), a[b >= 0], b[b >= 0])
 
 
-def _components_touching(front: DataFrame, weak: DataFrame, keys: list[str]) -> DataFrame:
-    """Weak cells in the same component as a front cell, for chains too long to walk step by step.
+def link(strong: DataFrame, weak: DataFrame, keys: list[str] = KEYS, tile: int = 128) -> DataFrame:
+    """All strong cells and every weak cell that touches them through weak cells (8-neighbourhood).
 
-    Minimum-label propagation with pointer jumping: the number of rounds grows with the logarithm of
-    the chain length, not with the length.
+    Cells are joined to parts inside tiles, one group a tile. Only parts with a cell on their tile's border can go on in
+    another one; their border cells are matched once, and the links between parts are contracted per grid. A grid has at
+    most schemas.MAX_CELLS cells, and of those only border cells of ridges come here. So one round does whatever the length
+    of a chain, and nothing is decided on the driver.
     """
-    cell = [*keys, "y", "x"]
-    node = F.xxhash64(*keys, "y", "x")
-    all_cells = front.withColumn("_seed", F.lit(True)).unionByName(weak.withColumn("_seed", F.lit(False)))
-    nodes = cut(all_cells.withColumns({"id": F.struct(*cell), "_h": node}))
+    types = [f"`{k}` {strong.schema[k].dataType.simpleString()}" for k in keys]
+    both = strong.select(*keys, "y", "x", F.lit(True).alias("strong")).unionByName(weak.select(*keys, "y", "x", F.lit(False).alias("strong")))
+    cells = both.select(*keys, F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "strong")
+    cells = cells.withColumns({f"t{c}": F.floor(F.col(c) / tile).cast("int") for c in "yx"})
+
+    def parts(table: pa.Table) -> pa.Table:
+        ty, tx = table["ty"][0].as_py(), table["tx"][0].as_py()
+        y, x = table["y"].to_numpy() - ty * tile, table["x"].to_numpy() - tx * tile
+        strong = table["strong"].to_numpy()
+        part = _tile_parts(y, x)
+        border = (y == 0) | (x == 0) | (y == tile - 1) | (x == tile - 1)
+        own, opened = np.zeros(len(y), bool), np.zeros(len(y), bool)
+        own[part[strong]] = True
+        opened[part[border]] = True
+        # a part's name within its grid
+        name = pa.array((np.int64(ty) << 40) + (np.int64(tx) << 20) + part)
+        columns = {"part": name, "own": pa.array(own[part]), "open": pa.array(opened[part]), "border": pa.array(border)}
+        return pa.table({k: table[k] for k in (*keys, "y", "x")} | columns)
+
+    made = cut(cells.groupBy(*keys, "ty", "tx").applyInArrow(parts, f"{', '.join(types)}, y int, x int, part long, own boolean, open boolean, border boolean"))
+    edge = made.where("border").select(*keys, "y", "x", "part", "own")
     near = F.sequence(F.lit(-1), F.lit(1))
-    n = nodes.select("id", *cell).withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near))
-    n = n.select(F.col("id").alias("src"), *keys, (F.col("y") + F.col("_dy")).alias("y"), (F.col("x") + F.col("_dx")).alias("x"))
-    edges = cut(n.join(nodes.select("id", *cell), cell).where(F.col("src") != F.col("id")).select("src", F.col("id").alias("dst")))
-    label = cut(nodes.select("id", F.col("id").alias("label")))
-    while True:
-        via = edges.join(label, edges.dst == label.id).groupBy("src").agg(F.min("label").alias("near"))
-        nxt = label.join(via, label.id == via.src, "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"))
-        jump = nxt.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        nxt = cut(nxt.join(jump, "label", "left").select("id", F.coalesce("up", "label").alias("label")))
-        changed = nxt.join(label.withColumnRenamed("label", "old"), "id").where(F.col("label") != F.col("old"))
-        moved = not changed.isEmpty()
-        label = nxt
-        if not moved:
-            break
-    seeds = nodes.where("_seed").join(label, "id").select("label").distinct()
-    reached = label.join(seeds, "label", "left_semi").join(nodes.where(~F.col("_seed")), "id")
-    return reached.select(*cell)
+    around = edge.withColumn("_dy", F.explode(near)).withColumn("_dx", F.explode(near)).select(*keys, (F.col("y") + F.col("_dy")).alias("y"), (F.col("x") + F.col("_dx")).alias("x"), F.col("part").alias("other"), F.col("own").alias("other_own"))
+    touching = around.join(edge, [*keys, "y", "x"]).where("part < other").select(*keys, "part", "other", "own", "other_own").distinct()
+
+    def contract(table: pa.Table) -> pa.Table:
+        a, b = table["part"].to_numpy(), table["other"].to_numpy()
+        names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+        root = connected(len(names), at[: len(a)], at[len(a) :])
+        seen = np.zeros(len(names), bool)
+        seen[root[at[np.concatenate([table["own"].to_numpy(), table["other_own"].to_numpy()])]]] = True
+        reached = names[seen[root]]
+        one = pa.array(np.zeros(len(reached), np.int64))
+        return pa.table({k: table[k].combine_chunks().take(one) for k in keys} | {"part": pa.array(reached)})
+
+    reached = touching.groupBy(*keys).applyInArrow(contract, f"{', '.join(types)}, part long").withColumn("reached", F.lit(True))
+    inside = made.where("own").select(*keys, "y", "x")
+    other = made.where("open and not own").join(reached, [*keys, "part"], "left_semi").select(*keys, "y", "x")
+    return inside.unionByName(other)
 
 
 # ---------------------------------------------------------------- sampling and feature maps

@@ -59,10 +59,42 @@ def test_blocked_matching_equals_brute_force(spark):
     assert {(r["cand_kp"], r["ref_kp"]) for r in mutual_nn(desc, pairs, None, near).collect()} == both
 
 
-@pytest.mark.parametrize("rounds", [None, 1])
-def test_linking_follows_a_long_chain(spark, rounds):
+@pytest.mark.parametrize("tile", [4, 128])
+def test_linking_follows_a_long_chain(spark, tile):
     chain = [("g", 0, x) for x in range(1, 14)] + [("g", 5, x) for x in range(4)]
     weak = spark.createDataFrame(chain, "grid_id string, y int, x int")
     strong = spark.createDataFrame([("g", 1, 0)], "grid_id string, y int, x int")
-    got = {(r["y"], r["x"]) for r in link(strong, weak, max_rounds=rounds).collect()}
+    got = {(r["y"], r["x"]) for r in link(strong, weak, tile=tile).collect()}
     assert got == {(1, 0)} | {(0, x) for x in range(1, 14)}
+
+
+@pytest.mark.parametrize("tile", [3, 8])
+def test_tile_linking_equals_flood_fill(spark, tile):
+    """Random ridges of two grids, and a spiral that crosses many tiles, against a walk cell by cell."""
+    rng = np.random.default_rng(11)
+    grids = {}
+    for name in "ab":
+        cells = {(int(y), int(x)) for y, x in rng.integers(0, 30, (330, 2))}
+        grids[name] = (cells, {c for c in cells if rng.random() < 0.04})
+    spiral, y, x, dy, dx = set(), 0, 0, 0, 1
+    for n in (30, 30, 30, 26, 26, 22, 22, 18, 18, 14, 14, 10, 10):
+        for _ in range(n):
+            spiral.add((y, x))
+            y, x = y + dy, x + dx
+        dy, dx = dx, -dy
+    grids["s"] = (spiral, {max(spiral, key=lambda c: -abs(c[0] - 14) - abs(c[1] - 14))})
+    want = set()
+    for name, (cells, strong) in grids.items():
+        todo = list(strong)
+        seen = set(strong)
+        while todo:
+            a, b = todo.pop()
+            for c in ((a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)):
+                if c in cells and c not in seen:
+                    seen.add(c)
+                    todo.append(c)
+        want |= {(name, *c) for c in seen}
+    rows = [(n, *c, c in st) for n, (cells, st) in grids.items() for c in cells]
+    df = spark.createDataFrame(rows, "grid_id string, y int, x int, s boolean").repartition(3)
+    got = link(df.where("s").drop("s"), df.where("not s").drop("s"), tile=tile)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
