@@ -53,7 +53,7 @@ class Codebook:
         order = np.argsort(between, axis=1, kind="stable")[:, 1:]
         pad = ((0, 0), (0, PLACES))
         self.lists = np.pad(order, pad)
-        self.reach = np.pad(np.take_along_axis(between, order, 1), pad, constant_values=math.inf if wide else 1 << 62)
+        self.reach = np.pad(np.take_along_axis(between, order, 1), pad)
         # A search starts at the nearest of a few entries spread over the codebook.
         self.probes = np.unique(np.linspace(0, n - 1, PROBES).astype(np.int64))
 
@@ -72,9 +72,10 @@ class Codebook:
         visited[:, self.probes] = True
         place, active = np.zeros(n, np.int64), np.arange(n if size > 1 else 0)
         while len(active):
-            # Lists are padded beyond any reach, so a block never leaves its list.
-            flat = (held[active] * self.lists.shape[1] + place[active])[:, None] + np.arange(PLACES)
-            entry, open_ = self.lists.take(flat), self.reach.take(flat) <= 4 * best[active][:, None]
+            # Lists are padded, so a block never leaves its own.
+            at = place[active][:, None] + np.arange(PLACES)
+            flat = held[active][:, None] * self.lists.shape[1] + at
+            entry, open_ = self.lists.take(flat), (at < size - 1) & (self.reach.take(flat) <= 4 * best[active][:, None])
             row, column = np.nonzero(open_ & ~visited.take(active[:, None] * size + entry))
             searches, tried = active[row], entry[row, column]
             visited[searches, tried] = True
