@@ -5,6 +5,8 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,6 +79,36 @@ def labelled(labels: DataFrame, rows: int, value: str = "quality") -> DataFrame:
     )
 
 
+# Bits of the map that `likely` broadcasts: 16 MB whatever the number of keys.
+MAP_BITS = 27
+
+
+def likely(rows: DataFrame, keys: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows whose `column`, a hash, may be among those of `keys`, rows whose isn't), so that a join moves only the former.
+
+    The keys' low bits are set in a bitmap of fixed size, which Spark builds and which is sent to every task: no key is missed,
+    and a row is let through by chance with the share of bits that are set.
+    """
+    def position(c):
+        return F.shiftrightunsigned(c, 64 - MAP_BITS) + 1
+
+    spot = position(F.col(column))
+    parts = keys.select(spot.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    whole = np.zeros((1 << (MAP_BITS - 3)) + 4096, np.uint8)
+    for r in parts:
+        at = (r["b"] - 1) * 4096
+        whole[at : at + len(r["bits"])] = np.frombuffer(bytes(r["bits"]), np.uint8)
+    shared = rows.sparkSession.sparkContext.broadcast(whole)
+
+    def test(p: pd.Series) -> pd.Series:
+        at = p.to_numpy() - 1
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0)
+
+    seen = F.pandas_udf(test, "boolean")(spot)
+    marked = rows.withColumn("_likely", seen)
+    return marked.where("_likely").drop("_likely"), marked.where("not _likely").drop("_likely")
+
+
 def attach_left(rows: DataFrame, stats: DataFrame, on: list[str], count: str, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Left-join one row per key (narrow, `count` = rows of that key) onto `rows`.
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kongrid.llm.common import map_rows, utf8
+from kongrid.llm.common import likely, map_rows, utf8
 from kongrid.operators.cut import cut, discard
 from kongrid.operators.keys import attach
 
@@ -214,13 +214,15 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, window: int = WINDOW)
     parse = cut(_parse(docs, length, window))
     one = [F.first(c).alias(c) for c in ("k1", "k2", "lo", "n")]
     classes = cut(parse.groupBy("core", "cls").agg(F.count("*").alias("times"), *one))
-    whole = cut(attach(parse, classes.where("times > 1").select("core", "cls", "times"), ["core", "cls"], "times").select("k1", "k2", "lo", "n"))
+    twice = classes.where("times > 1").select("core", "cls", "times")
+    whole = cut(attach(likely(parse, twice, "cls")[0], twice, ["core", "cls"], "times").select("k1", "k2", "lo", "n"))
     discard(parse)
     shared = classes.groupBy("core").agg(F.count("*").alias("kinds")).where("kinds > 1")
     phrase = F.struct("lo", "n", "core", (F.col("times") == 1).alias("single"), "kinds")
     opened = cut(attach(classes, shared, ["core"], "kinds").groupBy("k1", "k2").agg(F.collect_list(phrase).alias("open")))
     discard(classes)
-    strings = cut(_strings(opened.hint("shuffle_hash").join(docs, ["k1", "k2"]).select("k1", "k2", "open", "text"), length))
+    # only texts with an opened phrase are moved
+    strings = cut(_strings(opened.hint("shuffle_hash").join(likely(docs, opened, "k1")[0], ["k1", "k2"]).select("k1", "k2", "open", "text"), length))
     discard(opened)
     # Cores with few phrases are compared as they lie; a core of many is counted string by string, which no task holds whole.
     few = strings.where(F.col("kinds") <= FEW).select("core", "k1", "k2", "lo", "single", "strings").repartition("core").sortWithinPartitions("core")
@@ -245,8 +247,11 @@ def strip_repeats(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, i
     rows = docs.select(F.col(id_col), utf8(text_col).alias("text"))
     keyed = rows.select(id_col, F.xxhash64(F.col(id_col), "text").alias("k1"), F.xxhash64("text", F.col(id_col), F.lit(1)).alias("k2"), "text")
     runs = repeated_starts(keyed.select("k1", "k2", "text"), length, window)
-    per = runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n")).alias("_runs"))
-    joined = keyed.join(per.hint("shuffle_hash"), ["k1", "k2"], "left").select(id_col, "text", "_runs")
+    per = cut(runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("lo", "n")).alias("_runs")))
+    # texts without a run are finished where they lie
+    some, none = likely(keyed, per, "k1")
+    joined = some.join(per.hint("shuffle_hash"), ["k1", "k2"], "left").select(id_col, "text", "_runs")
+    joined = joined.unionByName(none.select(id_col, "text", F.lit(None).cast(joined.schema["_runs"].dataType).alias("_runs")))
 
     def strip(columns):
         out = [[] for _ in range(7)]
