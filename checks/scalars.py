@@ -373,6 +373,25 @@ def snk4r(spark, sf):
     return left.select("o_orderkey", F.col("run_date").cast("string").alias("run_date"), (F.col("last_access") >= F.lit("2024-01-19").cast("timestamp")).alias("seen"))
 
 
+# Accesses of every order, logged in four runs; compactions in between leave one row per key and lose none.
+@query("snk4_compact_access", """SELECT o_orderkey, CAST(TIMESTAMP '2024-01-01' + to_days(CAST(greatest(o_custkey % 17, CASE WHEN o_orderkey % 3 = 0 THEN 20 ELSE 0 END, CASE WHEN o_orderkey % 5 = 0 THEN 9 ELSE 0 END) AS INTEGER)) AS TIMESTAMP) AS last_access FROM orders""")
+def snk4_compact(spark, sf):
+    import uuid
+
+    path = f"{shared_dir(spark)}/kongrid-access-{uuid.uuid4().hex}"
+    schema = "o_orderkey long, last_access timestamp"
+    orders = A.table(spark, sf, "orders").withColumn("status", F.lit(200))
+    day = F.lit("2024-01-01").cast("timestamp")
+    seen = orders.withColumn("last_access", F.timestamp_add("DAY", (F.col("o_custkey") % 17).cast("int"), day))
+    store.log_access(seen.where("o_orderkey % 2 = 0"), path, "o_orderkey")
+    store.log_access(seen.where("o_orderkey % 2 = 1"), path, "o_orderkey")
+    store.compact_access(spark, path, "o_orderkey", schema)
+    store.log_access(orders.where("o_orderkey % 3 = 0").withColumn("last_access", F.timestamp_add("DAY", F.lit(20), day)), path, "o_orderkey")
+    store.compact_access(spark, path, "o_orderkey", schema)
+    store.log_access(orders.where("o_orderkey % 5 = 0").withColumn("last_access", F.timestamp_add("DAY", F.lit(9), day)), path, "o_orderkey")
+    return store.read_access(spark, path, "o_orderkey", schema).withColumn("last_access", F.col("last_access").cast("timestamp_ntz"))
+
+
 @query("snk2_lookup_results", f"""WITH k AS (SELECT o_orderkey, {IDS} AS id FROM orders),
 s AS (SELECT printf('%06x', o_orderkey) || '-a' AS id, o_totalprice AS transform, CASE WHEN o_orderstatus <> 'P' THEN o_orderstatus END AS metrics FROM orders WHERE o_custkey % 2 = 0)
 SELECT k.o_orderkey, CASE WHEN o_orderkey % 10 = 0 THEN 400 WHEN s.id IS NULL THEN 404 WHEN metrics IS NULL THEN 500 ELSE 200 END AS status,

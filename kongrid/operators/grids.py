@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kongrid.operators.keys import multicast
 from kongrid.schemas import MAX_WORKING_SIDE
 
 # A grid never exceeds schemas.MAX_CELLS cells (validate_ingest), so plain joins on the grid key meet
@@ -81,8 +82,9 @@ def compare_cells(ref: DataFrame, cand: DataFrame, pairs: DataFrame) -> DataFram
     r = ref.select(F.col("grid_id").alias("ref_id"), "y", "x", *[F.col(v).alias(f"ref_{v}") for v in values_of(ref, keys)])
     c = cand.select(F.col("grid_id").alias("cand_id"), "y", "x", *[F.col(v).alias(f"cand_{v}") for v in values_of(cand, keys)])
     p = pairs.select("pair_id", "ref_id", "cand_id")
-    left = r.join(p.select("pair_id", "ref_id"), "ref_id").drop("ref_id")
-    right = c.join(p.select("pair_id", "cand_id"), "cand_id").drop("cand_id")
+    # a reference of very many pairs is sent in counted copies
+    left = multicast(p.select("pair_id", "ref_id"), r, "ref_id").drop("ref_id")
+    right = multicast(p.select("pair_id", "cand_id"), c, "cand_id").drop("cand_id")
     return left.join(right, ["pair_id", "y", "x"], "full")
 
 
