@@ -63,7 +63,7 @@ def op8_simhash_popcount(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_prefix_free_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return strip_repeats(table(spark, sf_dir, "documents"), 400).withColumn("kept", F.decode("kept", F.lit("UTF-8")))
+    return strip_repeats(table(spark, sf_dir, "documents"), 400).withColumn("kept", F.make_valid_utf8(F.col("kept").cast("string")))
 
 
 def op10_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

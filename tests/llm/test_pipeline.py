@@ -108,3 +108,25 @@ def test_run(spark, sf):
         assert r["size"] == len(texts[r["doc_id"]].encode()) + 1
         by.setdefault(r["shard"], []).append(r["slot"])
     assert all(sorted(s) == list(range(len(s))) for s in by.values())
+
+
+def test_registered_repeats(spark, sf):
+    """op9 with its own parameters over a whole table, against a count of every 400-byte string."""
+    import hashlib
+
+    from kongrid.llm.queries import QUERIES
+
+    docs = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    seen = Counter(t[k : k + 400] for t in docs.values() for k in range(len(t) - 399))
+    got = {r["doc_id"]: r for r in QUERIES["op9_prefix_free_parse"](spark, sf).collect()}
+    assert set(got) == set(docs)
+    for i, t in docs.items():
+        gone = bytearray(len(t))
+        for k in range(len(t) - 399):
+            if seen[t[k : k + 400]] > 1:
+                gone[k : k + 400] = b"\1" * 400
+        kept = bytes(b for b, g in zip(t, gone) if not g)
+        runs = sum(1 for k in range(len(gone)) if gone[k] and (k == 0 or not gone[k - 1]))
+        r = got[i]
+        assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == (len(t), sum(gone), runs, hashlib.sha256(kept).hexdigest())
+        assert len(r["spans"]) == runs and r["kept"] == kept.decode(errors="replace")
