@@ -29,14 +29,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows repeated in full are copies. Null ids count as larger than any, null texts as empty.
     """
     text = F.coalesce("text", F.lit(""))
-    name = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.xxhash64(text).alias("h1"), F.xxhash64(text, F.lit(1)).alias("h2"))
-    named = docs.select(name.alias("name"), "text")
+    keys = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_h1": F.xxhash64(text), "_h2": F.xxhash64(text, F.lit(1))}
+    rows = docs.withColumns(keys)
+    named = rows.select(F.struct(*keys).alias("name"), "text")
     first = near_duplicates(named, 4, id_col="name").where("name = component_id").select("name.*").distinct()
-    hashes = {"_h1": F.xxhash64(text), "_h2": F.xxhash64(text, F.lit(1))}
-    rows = docs.withColumns(hashes)
-    first = first.select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), F.col("doc_id").alias("_id"))
-    same = (rows["_h1"] == first["_h1"]) & (rows["_h2"] == first["_h2"]) & rows["doc_id"].eqNullSafe(first["_id"])
-    return rows.join(first, same, "left_semi").dropDuplicates(["doc_id", "_h1", "_h2"]).select(*docs.columns)
+    # both steps go by the same keys, so texts are moved once
+    return rows.dropDuplicates(list(keys)).join(first, list(keys), "left_semi").select(*docs.columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
