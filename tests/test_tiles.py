@@ -24,6 +24,9 @@ def brute_warp(cells, m, h, w, fill, method):
     for y in range(h):
         for x in range(w):
             d = inv @ (x, y, 1.0)
+            if d[2] == 0:
+                out[y, x] = (fill, False)
+                continue
             px, py = np.round(d[0] / d[2], 9), np.round(d[1] / d[2], 9)
             half = 0.5 if method == "nearest" else 0.0
             bx, by = int(np.floor(px + half)), int(np.floor(py + half))
