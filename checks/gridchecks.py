@@ -167,6 +167,14 @@ def patch_pairs(spark, sf):
     return g, pairs
 
 
+# Every pair of a group of eight grids, the smaller id as reference.
+@query("jn1_pairs_before", """SELECT r.vec_id AS ref_id, c.vec_id AS cand_id, r.vec_id || '|' || c.vec_id AS pair_id
+FROM embeddings c JOIN embeddings r ON r.vec_id // 8 = c.vec_id // 8 AND r.vec_id < c.vec_id""")
+def jn1_before(spark, sf):
+    e = A.table(spark, sf, "embeddings").select(F.col("vec_id").alias("grid_id"), F.floor(F.col("vec_id") / 8).alias("k"))
+    return grids.make_pairs(e, e, ["k"], "before").drop("k")
+
+
 @query("jn2_compare_cells", f"""WITH {G2}, r AS (SELECT * FROM g2 WHERE grid_id % 2 = 0), c AS (SELECT grid_id, y, x + 1 AS x, v FROM g2 WHERE grid_id % 2 = 1),
 r2 AS (SELECT grid_id || '|' || (grid_id + 1) AS pair_id, y, x, v FROM r WHERE grid_id + 1 IN (SELECT vec_id FROM embeddings)),
 c2 AS (SELECT (grid_id - 1) || '|' || grid_id AS pair_id, y, x, v FROM c)

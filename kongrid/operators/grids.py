@@ -68,11 +68,28 @@ def area_downsample(grid: DataFrame, max_side: int = MAX_WORKING_SIDE, keys: lis
     )
 
 
-def make_pairs(refs: DataFrame, cands: DataFrame, on: list[str]) -> DataFrame:
-    """Pair each candidate with the reference that shares its key (a request names one of each)."""
+# Members of a group in which every grid may be paired with every later one.
+MOST_MEMBERS = 1_000
+
+
+def make_pairs(refs: DataFrame, cands: DataFrame, on: list[str], rule: str = "equal") -> DataFrame:
+    """Pair each candidate with the reference that shares its key (a request names one of each).
+
+    Rule "before" pairs it with every reference of its group whose id is smaller than its own. Pairs then grow with the square of
+    a group, so groups of more than MOST_MEMBERS references or candidates are refused (ValueError) before anything is joined.
+    """
     r = refs.select(*on, F.col("grid_id").alias("ref_id"))
     c = cands.select(*on, F.col("grid_id").alias("cand_id"))
+    if rule == "before":
+        for side in (r, c):
+            most = side.groupBy(*on).count().agg(F.max("count").alias("n")).first()["n"]
+            if most is not None and most > MOST_MEMBERS:
+                raise ValueError(f"a group has {most} members; at most {MOST_MEMBERS} are paired with each other")
+    elif rule != "equal":
+        raise ValueError(f"unknown rule {rule!r}")
     p = c.join(r, on)
+    if rule == "before":
+        p = p.where("ref_id < cand_id")
     return p.withColumn("pair_id", F.concat_ws("|", F.col("ref_id").cast("string"), F.col("cand_id").cast("string")))
 
 

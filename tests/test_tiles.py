@@ -145,3 +145,11 @@ def test_compare_cells_of_a_hot_reference(spark):
     pairs = spark.range(300).select(F.col("id").cast("string").alias("pair_id"), F.lit("r").alias("ref_id"), F.concat(F.lit("c"), "id").alias("cand_id"))
     out = grids.compare_cells(ref, cand, pairs)
     assert out.count() == 3600 and out.where("ref_v is null or cand_v is null or (cand_v - ref_v) % 12 <> 0").count() == 0
+
+
+def test_pairs_of_a_large_group_are_refused(spark):
+    ids = spark.range(1001).select(F.col("id").alias("grid_id"), F.lit(0).alias("k"))
+    with pytest.raises(ValueError):
+        grids.make_pairs(ids, ids, ["k"], "before")
+    few = ids.where("grid_id < 5")
+    assert grids.make_pairs(few, few, ["k"], "before").count() == 10 and grids.make_pairs(few, few, ["k"]).count() == 25
