@@ -60,7 +60,7 @@ def filter_rows(df: DataFrame, text: Column, keep: Callable[[list[bytes]], list[
                 mask = pa.array(keep(part.column(n).to_pylist()), pa.bool_())
                 yield pa.RecordBatch.from_arrays(part.columns[:n], names=batch.schema.names[:n]).filter(mask)
 
-    return df.withColumn("_filter_text", text).mapInArrow(run, df.schema)
+    return df.select("*", text.alias("_filter_text")).mapInArrow(run, df.schema)
 
 
 def held_out(doc_id: Column) -> Column:

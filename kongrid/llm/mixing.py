@@ -4,7 +4,7 @@ A naive Bayes model over the hashed words that a document has, counted from a ta
 domain posteriors. Their prior is that of the corpus and not of the labelled documents: it is found by expectation maximisation
 over all documents.
 Rates r >= 0 are sought for all documents so that the expected tokens of each domain, sum of r * tokens * posterior, meet
-the targets: least squares over relative errors, by projected gradient. A step moves every document by a combination of its
+the targets: least squares over weighted errors, by projected gradient. A step moves every document by a combination of its
 posteriors, so the whole course of the descent is a short list of vectors; a round sums (tokens, posteriors) rows with that list
 in a column expression, and no rates are kept between rounds.
 """
@@ -15,6 +15,7 @@ import json
 from dataclasses import dataclass, replace
 from math import copysign, log
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,39 +125,74 @@ def rate(steps: list[list[float]]) -> Column:
     return F.aggregate(course, F.lit(1.0), move)
 
 
-def solve_rates(rows: DataFrame, weights: list[float], total: float | None = None, rounds: int = 60, tolerance: float = 1e-4) -> list[list[float]]:
-    """Steps of the descent over `rows` (_mix_tokens, _mix_p0, ...).
+def solve_rates(rows: DataFrame, weights: list[float], total: float | None = None, rounds: int = 60, tolerance: float = 1e-4) -> tuple[list[list[float]], list[float]]:
+    """Steps of the descent over `rows` (_mix_tokens, _mix_p0, ...), and the misses it ends with: by domain, expected tokens over
+    target less 1 (over total, where the target is 0).
 
     Targets are weight x total. Without a total, the first domain's present tokens set it: its target is what there is of
     it. Ends when every domain is within `tolerance` of its target (relative to the target's and the corpus's size).
+
+    Errors are measured in the metric of what documents with a rate above 0 can still change (the inverse of their Gram matrix,
+    renewed each round), so a domain that is nearly all set to 0 is not left to creep. A step that does not lessen the sum of
+    squared relative errors is taken back and halved. Where targets can't all be met such steps get short, and the descent goes on
+    with fixed weights until it stands still.
     """
     n, p = len(weights), [F.col(f"_mix_p{d}") for d in range(len(weights))]
     mass = [F.col("_mix_tokens") * x for x in p]
-    first = rows.agg(*[F.sum(x).alias(f"s{d}") for d, x in enumerate(mass)], *[F.sum(mass[a] * p[b]).alias(f"g{a}_{b}") for a in range(n) for b in range(n)]).first()
-    now = [first[f"s{d}"] or 0.0 for d in range(n)]
-    if sum(now) <= 0:
-        return []
+
+    def sums(steps: list[list[float]]) -> tuple[list[float], list[list[float]]]:
+        live = F.col("_mix_r") > 0
+        moved = rows.withColumn("_mix_r", rate(steps))
+        got = moved.agg(
+            *[F.sum(F.col("_mix_r") * x).alias(f"s{d}") for d, x in enumerate(mass)],
+            *[F.sum(F.when(live, mass[a] * p[b]).otherwise(0.0)).alias(f"g{a}_{b}") for a in range(n) for b in range(a, n)],
+        ).first()
+        return [got[f"s{d}"] or 0.0 for d in range(n)], [[got[f"g{min(a, b)}_{max(a, b)}"] or 0.0 for b in range(n)] for a in range(n)]
+
+    steps: list[list[float]] = []
+    now, gram = sums(steps)
+    corpus = sum(now)
+    if corpus <= 0:
+        return [], [0.0] * n
     total = total if total is not None else now[0] / weights[0]
-    target = [w / sum(weights) * total for w in weights] if total is not None else now
+    target = [w / sum(weights) * total for w in weights]
     # Errors are relative to what a domain has or shall have, so a domain that is next to absent does not rule the others.
-    scale = [max(s, t, 1e-6 * sum(now)) for s, t in zip(now, target)]
-    # The largest row sum bounds the largest eigenvalue of the scaled Gram matrix.
-    bound = max(sum(first[f"g{a}_{b}"] / (scale[a] * scale[b]) ** 0.5 for b in range(n)) for a in range(n))
-    steps: list[list[float]] = []
+    fixed = [max(s, t, 1e-6 * corpus) for s, t in zip(now, target)]
+
+    unit = [f ** 0.5 for f in fixed]
+
+    def error(sums: list[float]) -> float:
+        return sum((s - t) ** 2 / f for s, t, f in zip(sums, target, fixed))
+
+    # The largest row sum of the scaled Gram matrix bounds its largest eigenvalue.
+    bound, length = max(sum(gram[a][b] / unit[a] / unit[b] for b in range(n)) for a in range(n)), 1.0
     for _ in range(rounds):
         miss = [s - t for s, t in zip(now, target)]
         if all(abs(m) <= tolerance * max(t, 0.01 * sum(target)) for m, t in zip(miss, target)):
             break
-        steps.append([m / c / bound for m, c in zip(miss, scale)])
-        moved = rows.withColumn("_mix_r", rate(steps)).agg(*[F.sum(F.col("_mix_r") * x).alias(f"s{d}") for d, x in enumerate(mass)]).first()
-        now = [moved[f"s{d}"] for d in range(n)]
-    return steps
+        renewed = length >= 1 / 32
+        if renewed:
+            metric = np.linalg.pinv(np.array(gram) / np.outer(unit, unit), rcond=1e-6, hermitian=True)
+            step = [length * float(x) for x in metric @ (np.array(miss) / unit) / unit]
+        else:
+            step = [m / f / bound for m, f in zip(miss, fixed)]
+        then, then_gram = sums([*steps, step])
+        gain = error(now) - error(then)
+        if renewed and gain <= 0:
+            length /= 2
+            continue
+        if not renewed and gain <= 1e-4 * error(now):
+            break
+        steps, now, gram = [*steps, step], then, then_gram
+        length = min(1.0, 2 * length) if renewed else length
+    return steps, [(s - t) / (t or sum(target)) for s, t in zip(now, target)]
 
 
 @dataclass
 class Mixture:
     model: DomainModel
     steps: list[list[float]]
+    missed: list[float]  # by domain, how far its expected tokens stay from the target, as a part of it
     rows: DataFrame  # id, _mix_u, _mix_tokens and _mix_p* of the documents that it was fitted on, from a written table
     id_col: str
 
@@ -184,7 +220,7 @@ def fit_mixture(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     written = cut(_scored(docs.select(id_col, F.col(text_col).alias("_mix_text")), model, id_col, "_mix_text").drop("_mix_text"))
     model = model.with_prior_of(written)
     rows = model.posteriors(written)
-    return Mixture(model, solve_rates(rows, list(targets.values()), total), rows, id_col)
+    return Mixture(model, *solve_rates(rows, list(targets.values()), total), rows, id_col)
 
 
 def fitted_rates(mixture: Mixture, dead_zone: float = 0.05) -> DataFrame:
@@ -203,9 +239,13 @@ def mixing_rates(docs: DataFrame, mixture: Mixture, dead_zone: float = 0.05, id_
 
 
 def mixed(docs: DataFrame, mixture: Mixture, dead_zone: float = 0.05, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, each repeated by its copies (none for 0), with their own columns."""
-    added = mixture.rated(mixture.model.posteriors(_scored(docs, mixture.model, id_col, text_col)), dead_zone)
-    return added.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies"))).alias("_mix_one")).drop("_mix_one")
+    """The documents, each repeated by its copies (none for 0), with their own columns, whatever these are called.
+
+    Null and empty texts have no tokens and go by the prior's rate; repeated rows have equal copies; an empty table stays empty.
+    """
+    rows = docs.select(F.struct(*docs.columns).alias("_mix_row"))
+    added = mixture.rated(mixture.model.posteriors(_scored(rows, mixture.model, f"_mix_row.{id_col}", f"_mix_row.{text_col}")), dead_zone)
+    return added.select("_mix_row", F.explode(F.array_repeat(F.lit(1), F.col("_mix_copies")))).select("_mix_row.*")
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

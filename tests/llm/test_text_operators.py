@@ -545,6 +545,53 @@ def test_mixing_with_labels_that_over_represent_a_domain(spark):
     assert (got[got.doc_id % 4 != 0].copies == 1).all()
 
 
+def least_squares(tokens, p, target, scale, rounds=20_000):
+    """Rates by plain projected gradient with one step size, for as long as it takes."""
+    r, a = np.ones(len(tokens)), (p * tokens[:, None]) / np.sqrt(scale)
+    step = 1 / np.linalg.norm(a, 2) ** 2
+    for _ in range(rounds):
+        r = np.maximum(0, r - step * (a @ (a.T @ r - target / np.sqrt(scale))))
+    return r
+
+
+@pytest.mark.parametrize("kind", ["rare", "alike"])
+def test_descent_against_plain_least_squares(spark, kind):
+    """A domain that must nearly vanish is brought to its target; targets that can't all be met end at the least error."""
+    g = np.random.default_rng(5)
+    tokens = g.integers(5, 200, 300).astype(float)
+    if kind == "rare":
+        bad = np.where(np.arange(300) % 3 == 0, g.uniform(0.7, 0.999, 300), g.uniform(0, 0.02, 300))
+        weights = [0.995, 0.005]
+    else:
+        bad, weights = np.full(300, 0.3), [0.9, 0.1]
+    p = np.stack([1 - bad, bad], 1)
+    rows = spark.createDataFrame([(float(t), *map(float, q)) for t, q in zip(tokens, p)], "_mix_tokens double, _mix_p0 double, _mix_p1 double")
+    steps, missed = mixing.solve_rates(rows, weights)
+    got = np.ones(300)
+    for s in steps:
+        got = np.maximum(0, got - p @ np.array(s))
+    had = tokens @ p
+    target = np.array(weights) * had[0] / weights[0]
+    assert missed == pytest.approx(list((got * tokens) @ p / target - 1), abs=1e-9)
+    scale = np.maximum(had, target)
+    plain = least_squares(tokens, p, target, scale)
+
+    def error(r):
+        return (((r * tokens) @ p - target) ** 2 / scale).sum()
+
+    assert error(got) <= 1.001 * error(plain) + 1e-6 * error(np.ones(300))
+    if kind == "rare":
+        assert max(map(abs, missed)) < 0.02 and len(steps) < 40
+
+
+def test_mixed_keeps_columns_of_any_name(spark):
+    rows = [(1, None, 5.0, "a"), (1, None, 5.0, "a"), (2, "", 6.0, "b"), (None, "some words", 7.0, None), (4, "awful words", None, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _mix_tokens double, _mix_p0 string")
+    marks = spark.createDataFrame([(2, "fine"), (4, "bad")], "doc_id long, domain string")
+    out = mixing.mixed(df, mixing.fit_mixture(df, marks, {"fine": 0.5, "bad": 0.5}), dead_zone=2.0)
+    assert out.columns == df.columns and sorted(map(str, out.collect())) == sorted(map(str, df.collect()))
+
+
 def test_words_are_split_at_all_white_space(spark):
     plain = prose(300, 9)
     rows = [(1, plain)] + [(2 + k, plain.replace(" ", c)) for k, c in enumerate(["\n", "\t", "\r\n", "\x0b", "\x0c", " \n "])] + [(8, "\n" + plain + "\n")]
