@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kongrid.llm.common import scratch, table
+from kongrid.llm.common import likely, scratch, table
 from kongrid.llm.latent import without_leaks
 from kongrid.llm.mixing import fit_mixture, label_domains, mixed
 from kongrid.llm.quality import accepted, train_quality
 from kongrid.llm.queries import SHARDS
 from kongrid.llm.sharding import shard_minimax
 from kongrid.llm.simhash import near_duplicates
+from kongrid.operators.cut import cut
 
 # Token weights by domain; the quality stage has removed the third one.
 TARGETS = {"clean": 0.99, "toxic": 0.01}
@@ -26,15 +27,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: the one with the smallest doc_id, of rows that share it the smallest text hash.
 
     A row is named by its doc_id and its text, so rows that repeat an id with other texts are documents of their own, and
-    rows repeated in full are copies. Null ids count as larger than any, null texts as empty.
+    rows repeated in full are copies. Null ids count as larger than any, null texts as empty. Columns may have any name.
     """
     text = F.coalesce("text", F.lit(""))
     keys = {"_none": F.col("doc_id").isNull(), "_id": F.coalesce("doc_id", F.lit(0)), "_h1": F.xxhash64(text), "_h2": F.xxhash64(text, F.lit(1))}
-    rows = docs.withColumns(keys)
-    named = rows.select(F.struct(*keys).alias("name"), "text")
-    first = near_duplicates(named, 4, id_col="name").where("name = component_id").select("name.*").distinct()
-    # both steps go by the same keys, so texts are moved once
-    return rows.dropDuplicates(list(keys)).join(first, list(keys), "left_semi").select(*docs.columns)
+    named = docs.select(F.struct(*[c.alias(k) for k, c in keys.items()]).alias("name"), "text")
+    names = near_duplicates(named, 4, id_col="name").groupBy("name").agg(F.min("component_id").alias("least"), F.count("*").alias("n"))
+    doubtful = cut(names.where("n > 1 or name <> least").select("name.*", (F.col("name") != F.col("least")).alias("goes")))
+    # Rows of a name that is alone and stays are finished where they lie; only the others' texts are moved.
+    mark = F.xxhash64(*keys)
+    maybe, sure = likely(docs.select(F.struct(*docs.columns).alias("_row"), *[c.alias(k) for k, c in keys.items()]).withColumn("_mark", mark), doubtful.select(mark.alias("_mark")), "_mark")
+    judged = maybe.dropDuplicates(list(keys)).join(doubtful.where("goes"), list(keys), "left_anti")
+    return sure.select("_row").union(judged.select("_row")).select("_row.*")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
