@@ -2,8 +2,9 @@
 
 A block is a line, a window of a long line, or a window of the words of the whole text, as notices are often wrapped over
 lines. A template matches a block that holds at least the threshold share of its distinct tokens. Tokens are ordered by how many documents of the whole corpus hold them, rarest first. To reach an overlap
-of k, a block must hold one of the first n - k + 1 tokens of a template of n (prefix filter), at least k distinct tokens
-(length filter), and enough tokens from the first hit's position on (positional filter); what is left is counted exactly.
+of k, a block must hold one of the first n - k + 1 tokens of a template of n (prefix filter), at least k template tokens
+(length filter), and from the first hit on k tokens must be left in both, in that order (positional filter); what is left is
+counted exactly.
 """
 
 from __future__ import annotations
@@ -138,22 +139,31 @@ class Index:
             for position, token in enumerate(tokens[: len(tokens) - need + 1]):
                 self.prefix.setdefault(token, []).append((t, position))
         self.known = set(self.prefix)
+        self.rank = {x: k for k, x in enumerate(sorted({x for tokens in self.sets for x in tokens}, key=self.order))}
+
+    def candidates(self, held: list[bytes]) -> tuple[dict[int, int], int]:
+        """Templates that a block with the template tokens `held` (in global order) may match, each with the position of its first
+        token that the block has; and how many the length and positional filters have ruled out.
+
+        That first hit is the first common token of both lists, so they share no more than what is left in the shorter one.
+        """
+        first: dict[int, tuple[int, int]] = {}
+        for j, token in enumerate(held):
+            for t, position in self.prefix.get(token, ()):
+                first.setdefault(t, (position, j))
+        left = {t: position for t, (position, j) in first.items() if min(len(self.sets[t]) - position, len(held) - j) >= self.need[t]}
+        return left, len(first) - len(left)
 
     def matches(self, tokens: list[bytes]) -> dict[int, float]:
         """Containment of each template that the block reaches the threshold of."""
-        hits = self.known.intersection(tokens)
-        if not hits:
+        if self.known.isdisjoint(tokens):
             return {}
-        block, first, found = set(tokens), {}, {}
-        for token in hits:
-            for t, position in self.prefix[token]:
-                first[t] = min(position, first.get(t, position))
-        for t, position in first.items():
-            n, need = len(self.sets[t]), self.need[t]
-            if len(block) >= need and n - position >= need:  # tokens before the first hit aren't in the block
-                overlap = sum(x in block for x in self.sets[t][position:])
-                if overlap >= need:
-                    found[t] = overlap / n
+        block, found = set(tokens), {}
+        left, _ = self.candidates(sorted(block.intersection(self.rank), key=self.rank.get))
+        for t, position in left.items():
+            overlap = sum(x in block for x in self.sets[t][position:])
+            if overlap >= self.need[t]:
+                found[t] = overlap / len(self.sets[t])
         return found
 
 

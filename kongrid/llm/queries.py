@@ -32,7 +32,7 @@ def op1_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return filter_urls(pages, mine_rules(label_urls(pages, table(spark, sf_dir, "labels"))))
+    return filter_urls(pages, mine_rules(label_urls(pages, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))))
 
 
 def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kongrid.llm.common import map_rows
+from kongrid.operators.keys import attach
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 # Host rules: (verdict, host/path prefix).
@@ -21,6 +22,8 @@ HOST_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.ex
 # Association rules go to every task; the support bound keeps their number far below this.
 MOST_RULES = 100_000
 LABEL = "label="
+# Lines of fewer characters say little about where a text comes from.
+SHORTEST_LINE = 40
 
 
 def host_of(url: Column) -> Column:
@@ -113,10 +116,28 @@ def mine_rules(labelled: DataFrame, support: float = 0.01, confidence: float = 0
     return AssociationRules(kept, index)
 
 
-def label_urls(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Items and labels of the labelled pages: block where the page is of quality 0 or toxic, else allow."""
-    marks = labels.groupBy(F.col("doc_id").alias(id_col)).agg(F.min("quality").alias("_q"), F.max("toxic").alias("_t")).where("_q is not null")
-    return pages.select(id_col, url_col).join(marks, id_col).select(url_items(F.col(url_col)).alias("items"), F.when((F.col("_q") == 0) | (F.coalesce("_t", F.lit(0)) == 1), "block").otherwise("allow").alias("label"))
+def line_digests(text: Column) -> Column:
+    """Digests of the distinct lines of at least SHORTEST_LINE characters; in HTML, tags end a line."""
+    lines = F.transform(F.split(text, r"<[^>]*>|\n"), lambda x: F.trim(F.regexp_replace(x, r"\s+", " ")))
+    return F.array_distinct(F.transform(F.filter(lines, lambda x: F.length(x) >= SHORTEST_LINE), lambda x: F.xxhash64(x)))
+
+
+def label_urls(pages: DataFrame, docs: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """(page, items, label) of the pages that hold lines of labelled documents: block or allow.
+
+    Labels are given to documents, so they are carried over by text: a line's mark is the share of the labelled documents with
+    it that are of quality 0 or toxic, a page's is the mean over its lines, each weighed by 1/n for the n labelled documents
+    that have it. Above one half the page is to be blocked. A page is a pair of id and URL; rows that repeat it count as one.
+    Null texts have no lines. Only digests are moved; marks of lines are joined by `attach`, so no line is a hot key.
+    """
+    bad = F.when((F.col("quality") == 0) | (F.coalesce("toxic", F.lit(0)) == 1), 1.0).otherwise(0.0)
+    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max(bad).alias("bad"))
+    held = docs.select("doc_id", line_digests(F.col("text")).alias("lines")).join(marks, "doc_id")
+    lines = held.select("bad", F.explode("lines").alias("line")).groupBy("line").agg(F.avg("bad").alias("bad"), F.count("*").alias("n"))
+    rows = pages.select(F.struct(F.col(id_col).alias("id"), F.col(url_col).alias("url")).alias("page"), F.explode(line_digests(F.col(html_col))).alias("line"))
+    uses = rows.groupBy("line").agg(F.count("*").alias("uses")).join(lines, "line")
+    judged = attach(rows, uses, ["line"], "uses").groupBy("page").agg((F.sum(F.col("bad") / F.col("n")) / F.sum(1 / F.col("n"))).alias("bad"))
+    return judged.select("page", url_items(F.col("page.url")).alias("items"), F.when(F.col("bad") > 0.5, "block").otherwise("allow").alias("label"))
 
 
 def filter_urls(pages: DataFrame, mined: AssociationRules, rules: list[tuple[str, str]] | None = None, default: str = "allow", id_col: str = "page_id", url_col: str = "url") -> DataFrame:

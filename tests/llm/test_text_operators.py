@@ -198,6 +198,25 @@ def test_licenses(spark, docs, empty):
     assert licenses.scan_licenses(empty).count() == 0
 
 
+def test_filters_prune_and_lose_nothing():
+    """Blocks with some of a template's tokens: the positional filter drops candidates, and none that reaches the threshold."""
+    r = random.Random(6)
+    vocabulary = [f"w{k}" for k in range(40)]
+    templates = {f"t{k}": " ".join(r.sample(vocabulary, r.randint(4, 14))) for k in range(30)}
+    index = licenses.Index(templates, {w.encode(): r.randint(0, 9) for w in vocabulary}, 0.8)
+    pruned = by_position = 0
+    for _ in range(300):
+        block = [w.encode() for w in r.sample(vocabulary, r.randint(1, 25))] + [b"other"] * r.randint(0, 3)
+        share = {t: len(set(block) & set(tokens)) / len(tokens) for t, tokens in enumerate(index.sets)}
+        assert index.matches(block) == {t: x for t, x in share.items() if x >= 0.8 - 1e-9}
+        held = sorted(set(block).intersection(index.rank), key=index.rank.get)
+        left, gone = index.candidates(held)
+        pruned += gone
+        hit = {t for token in held for t, _ in index.prefix.get(token, ())}
+        by_position += sum(t not in left and len(held) >= index.need[t] for t in hit)
+    assert pruned > by_position > 0
+
+
 def label_sets(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), DOCS)
     return {r["doc_id"]: set(r["labels"].split(",")) - {""} for r in licenses.scan_licenses(df, base={}).collect()}
@@ -496,6 +515,31 @@ def test_urls(spark):
     assert urls.mine_rules(labelled.where("false")).rules == [] and urls.filter_urls(pages.where("false"), mined).count() == 0
 
 
+def test_labels_reach_pages_by_text(spark):
+    """Documents are labelled, pages hold their texts under other ids. Rules mined from three quarters of the pages judge the rest."""
+    r = random.Random(8)
+    docs = [(k, f"{prose(20, k)}\n{prose(15, 1000 + k)}\nthis line stands in each and every document of the site") for k in range(200)]
+    marks = [(k, 0 if k % 3 == 0 else 1, 0) for k in range(200)] + [(None, 0, 1), (5, None, None)]
+    bad = {k for k, q, _ in marks if q == 0 and k is not None}
+
+    def page(k):
+        path = "promo" if (k in bad) != (r.random() < 0.1) else "news"
+        body = "</p><p>".join(docs[k][1].replace("  ", " ").split("\n"))
+        return 5000 - k, f"http://h{k % 7}.org/{path}/{k}", f"<html><nav>menu</nav><p>{body}</p></html>"
+
+    rows = [page(k) for k in range(200)]
+    odd = [(1, "http://a.org/x", None), (2, None, ""), (None, "http://a.org/y", "<p>no line of any document is found in this page</p>"), rows[3]]
+    pages = spark.createDataFrame(rows + odd, "page_id long, url string, html string").withColumn("line", F.lit(1)).withColumn("label", F.lit(2))
+    of = urls.label_urls(pages, spark.createDataFrame(docs + [(None, None), (7, None)], DOCS), spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    got = {x["page"]["id"]: x["label"] for x in of.collect()}
+    assert got == {5000 - k: "block" if k in bad else "allow" for k in range(200)}
+    learnt = urls.mine_rules(of.where("page.id % 4 <> 2"))
+    rest = of.where("page.id % 4 = 2").collect()
+    right = sum((learnt.best(x["items"])[0] or "allow") == x["label"] for x in rest) / len(rest)
+    share = sum(x["label"] == "allow" for x in rest) / len(rest)
+    assert right >= 0.8 > 0.75 > share
+
+
 def test_rules_against_counting(spark):
     r = random.Random(3)
     baskets = [(sorted(r.sample(["a", "b", "c", "d"], r.randint(1, 4))), r.choice(["allow", "allow", "block"])) for _ in range(200)]
