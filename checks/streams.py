@@ -11,8 +11,9 @@ from kongrid.streaming import streams as S
 
 
 def stream(spark, sf, name):
+    """A table as a stream of files. A pattern, and not the path itself, matches one file as well as a folder of them."""
     schema = A.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{name}.[p]arquet")
 
 
 def requests(spark, sf):
