@@ -69,29 +69,45 @@ def split_ingest(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
     return checked.where("status = 200"), checked.where("status <> 200")
 
 
+# Cells of one output batch of `_unpack`, about.
+BAND = 65536
+
+
 def _unpack(batches):
-    """Raw image bytes to one row per cell, at most a band of lines per output batch."""
+    """Raw image bytes to one row per cell: bands of lines of large images, many small images together in one output batch."""
+
+    def joined(held: list) -> pa.RecordBatch:
+        ids, ys, xs, channels, counts = zip(*held)
+        sizes = [len(y) for y in ys]
+        flat = np.concatenate(channels)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(ids, pa.string()).take(pa.array(np.repeat(np.arange(len(ids)), sizes))),
+                pa.array(np.concatenate(ys)), pa.array(np.concatenate(xs)),
+                *[pa.array(np.ascontiguousarray(flat[:, k])) for k in range(4)],
+                pa.array(np.repeat(np.array(counts, dtype=np.int32), sizes)),
+            ],
+            names=["grid_id", "y", "x", "c0", "c1", "c2", "c3", "n_channels"],
+        )
+
     for batch in batches:
-        cols = {n: batch.column(n) for n in ("grid_id", "height", "width", "n_channels", "data")}
-        for i in range(batch.num_rows):
-            gid, h, w, c = (cols[n][i].as_py() for n in ("grid_id", "height", "width", "n_channels"))
-            px = np.frombuffer(cols["data"][i].as_buffer(), dtype=np.uint8)[: h * w * c].reshape(h, w, c)
-            band = max(1, 65536 // w)
+        data = batch.column("data")
+        held, cells = [], 0
+        for i, (gid, h, w, c) in enumerate(zip(*[batch.column(n).to_pylist() for n in ("grid_id", "height", "width", "n_channels")])):
+            px = np.frombuffer(data[i].as_buffer(), dtype=np.uint8)[: h * w * c].reshape(h, w, c)
+            band = max(1, BAND // w)
             for y0 in range(0, h, band):
                 part = px[y0 : y0 + band]
                 n = part.shape[0] * w
-                flat = part.reshape(n, c).astype(np.int32)
-                chan = [flat[:, min(k, c - 1)] for k in range(4)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.repeat(gid, n),
-                        pa.array(np.repeat(np.arange(y0, y0 + part.shape[0], dtype=np.int32), w)),
-                        pa.array(np.tile(np.arange(w, dtype=np.int32), part.shape[0])),
-                        *[pa.array(v) for v in chan],
-                        pa.array(np.full(n, c, dtype=np.int32)),
-                    ],
-                    names=["grid_id", "y", "x", "c0", "c1", "c2", "c3", "n_channels"],
-                )
+                flat = part.reshape(n, c)[:, [min(k, c - 1) for k in range(4)]].astype(np.int32)
+                y = np.repeat(np.arange(y0, y0 + part.shape[0], dtype=np.int32), w)
+                held.append((gid, y, np.tile(np.arange(w, dtype=np.int32), part.shape[0]), flat, c))
+                cells += n
+                if cells >= BAND:
+                    yield joined(held)
+                    held, cells = [], 0
+        if held:
+            yield joined(held)
 
 
 def to_grid(images: DataFrame, background: float = ALPHA_BACKGROUND) -> DataFrame:
