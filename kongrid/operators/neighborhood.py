@@ -96,15 +96,21 @@ def _tile_curves(levels: pd.Series, counts: pd.Series, limit: pd.Series, area: p
     for lv, ct, top, n in zip(levels, counts, limit, area, strict=True):
         h = np.zeros(256, dtype=np.int64)
         h[np.asarray(lv)] = ct
-        kept = np.minimum(h, top)
-        share, rest = divmod(int(h.sum() - kept.sum()), 256)
-        # the excess is spread evenly; the remainder goes one count each to regularly spaced bins
-        kept += share
-        kept[:: max(1, 256 // max(1, rest))][:rest] += 1
-        out.append(np.cumsum(kept) * 255.0 / n)
+        out.append(st.clipped_curve(h, top, n))
     return pd.Series(out)
 
 
+def within_tile(grid: DataFrame) -> bool:
+    """Whether every grid lies within one tile of the stencils."""
+    e = grid.agg(F.least(F.min("y"), F.min("x")).alias("low"), F.greatest(F.max("y"), F.max("x")).alias("high")).first()
+    return e["low"] is None or (e["low"] >= 0 and e["high"] < st.TILE)
+
+
+def _keyed(grid: DataFrame, keys: list[str]) -> DataFrame:
+    """Cells that belong to a grid and to a place of it."""
+    return grid.dropna(subset=[*keys, "y", "x"])
+
+
 def tile_equalize(
     grid: DataFrame, clip: float = 2.0, tiles_y: int = 8, tiles_x: int = 8, v: str = "v", keys: list[str] = KEYS
 ) -> DataFrame:
@@ -112,7 +118,11 @@ def tile_equalize(
 
     Each tile's clipped histogram becomes a 256-entry curve. Cells between the same four tile centres
     share one row of four curves, so a cell meets its curves through a single join on (grid, quad).
+    Grids within one tile of the stencils are equalised where they meet, in one shuffle.
     """
+    if within_tile(grid):
+        step = st.equalize(v, clip, tiles_y, tiles_x)
+        return st.stencil(_keyed(grid, keys), [step], [v], {v: T.DoubleType()}, keys).select(*grid.columns)
     g = attach_small(grid, dims(grid, keys), keys)
     th, tw = F.ceil(F.col("height") / tiles_y), F.ceil(F.col("width") / tiles_x)
     g = g.withColumns({"_ty": F.floor(F.col("y") / th), "_tx": F.floor(F.col("x") / tw)})
@@ -262,6 +272,12 @@ def feature_map(grid: DataFrame, kind: str, keys: list[str] = KEYS, side: int =
     from kongrid.operators.stats import zscore
 
     base = grid.select(*keys, "y", "x", F.col(v).alias("v"))
+    if kind in ("gradient", "dial"):
+        base = cut(base if kind == "gradient" else area_downsample(base, side, keys))
+        if within_tile(base):
+            steps = [st.equalize("v", 2.0, 8, 8), st.slopes("v"), st.magnitude(kind == "dial"), st.smooth("mag", gaussian_kernel(1.0 if kind == "gradient" else 0.65))]
+            m = st.stencil(_keyed(base, keys), steps, ["v"], {"mag": T.DoubleType()}, keys, [*keys, "y", "x"]).withColumnRenamed("mag", "v")
+            return per_grid_max(cut(m), "v", keys) if kind == "gradient" else zscore(cut(m), "v", keys)
     if kind == "gradient":
         m = gradient(tile_equalize(base, keys=keys), keys=keys).select(*keys, "y", "x", F.col("mag").alias("v"))
         return per_grid_max(cut(gaussian_blur(m, 1.0, keys=keys)), "v", keys)
@@ -272,7 +288,6 @@ def feature_map(grid: DataFrame, kind: str, keys: list[str] = KEYS, side: int =
         mixed = m.select(*keys, "y", "x", (F.col("mag") * 0.72 + F.col("t") * 0.28).alias("v"))
         return gaussian_blur(mixed, 0.8, keys=keys)
     if kind == "dial":
-        small = cut(area_downsample(base, side, keys))
-        m = gradient(tile_equalize(small, keys=keys), keys=keys, log=True).select(*keys, "y", "x", F.col("mag").alias("v"))
+        m = gradient(tile_equalize(base, keys=keys), keys=keys, log=True).select(*keys, "y", "x", F.col("mag").alias("v"))
         return zscore(cut(gaussian_blur(m, 0.65, keys=keys)), "v", keys)
     raise ValueError(f"unknown feature map {kind!r}")

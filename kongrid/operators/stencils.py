@@ -27,7 +27,7 @@ class Lines:
     """Neighbours of cells along their lines."""
 
     def __init__(self, y: np.ndarray, x: np.ndarray):
-        self.n = len(y)
+        self.n, self.y, self.x = len(y), y, x
         self.sorted = {}
         for axis, along, across in (("x", x, y), ("y", y, x)):
             order = np.lexsort((along, across))
@@ -90,6 +90,42 @@ def smooth(v: str, weights: list[float]) -> Step:
     return run
 
 
+def equalize(v: str, clip: float, tiles_y: int, tiles_x: int) -> Step:
+    """`neighborhood.tile_equalize` of a grid that is one group."""
+
+    def run(cells: dict, lines: Lines) -> None:
+        y, x, (value, known) = lines.y.astype(np.int64), lines.x.astype(np.int64), cells[v]
+        th, tw = -(-(int(y.max()) + 1) // tiles_y), -(-(int(x.max()) + 1) // tiles_x)
+        level = np.clip(np.floor(np.where(known & ~np.isnan(value), value, 0.0)), 0, 255).astype(np.int64)
+        ty, tx = y // th, x // tw
+        ny, nx = int(ty.max()) + 1, int(tx.max()) + 1
+        hist = np.bincount((ty * nx + tx) * 256 + level, minlength=ny * nx * 256).reshape(ny * nx, 256)
+        area = hist.sum(axis=1)
+        limit = np.maximum(1, np.floor(clip * area / 256)).astype(np.int64)
+        curve = np.stack([clipped_curve(*t) for t in zip(hist, limit, np.maximum(area, 1))]).reshape(ny, nx, 256)
+        have = (area > 0).reshape(ny, nx)
+        fy, fx = y / th - 0.5, x / tw - 0.5
+        qy, qx = np.floor(fy).astype(np.int64) + 1, np.floor(fx).astype(np.int64) + 1
+        wy, wx = fy - np.floor(fy), fx - np.floor(fx)
+        rows, columns = [np.maximum(qy - 1, 0), np.minimum(qy, ny - 1)], [np.maximum(qx - 1, 0), np.minimum(qx, nx - 1)]
+        top, bottom = (curve[r, columns[0], level] * (1 - wx) + curve[r, columns[1], level] * wx for r in rows)
+        ok = np.logical_and.reduce([have[r, c] for r in rows for c in columns])
+        cells[v] = top * (1 - wy) + bottom * wy, ok
+
+    run.reach = 0
+    return run
+
+
+def clipped_curve(h: np.ndarray, top: int, n: int) -> np.ndarray:
+    """Clipped and cumulated 256-bin histogram of `n` cells, scaled to 0-255."""
+    kept = np.minimum(h, top)
+    share, rest = divmod(int(h.sum() - kept.sum()), 256)
+    # the excess is spread evenly; the remainder goes one count each to regularly spaced bins
+    kept += share
+    kept[:: max(1, 256 // max(1, rest))][:rest] += 1
+    return np.cumsum(kept) * 255.0 / n
+
+
 def slopes(v: str) -> Step:
     """3x3 derivatives gx, gy."""
 

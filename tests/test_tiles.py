@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kongrid.functions import geometry as geo
-from kongrid.operators import grids, warp as tiled
+from kongrid.operators import grids, neighborhood as nb, warp as tiled
 from kongrid.operators.cut import shared_dir
 from kongrid.operators.recency import sessions
 from kongrid.plans.align import emit_metrics
@@ -153,3 +153,21 @@ def test_pairs_of_a_large_group_are_refused(spark):
         grids.make_pairs(ids, ids, ["k"], "before")
     few = ids.where("grid_id < 5")
     assert grids.make_pairs(few, few, ["k"], "before").count() == 10 and grids.make_pairs(few, few, ["k"]).count() == 25
+
+
+def test_small_grids_are_equalised_in_one_shuffle(spark, monkeypatch):
+    """Grids within a tile: rows as from joined curves, gaps, copies and missing values included, without a join."""
+    r = np.random.default_rng(4)
+    rows = [(g, y, x, float(r.random() * 300 - 20)) for g, h, w in (("a", 20, 17), ("b", 5, 30), ("c", 1, 4)) for y in range(h) for x in range(w) if r.random() < 0.9]
+    rows += rows[:5] + [("a", 30, 40, 7.0), (None, 0, 0, 1.0), ("b", 2, 2, None), ("c", None, 1, 2.0)]
+    grid = spark.createDataFrame(rows, "grid_id string, y int, x int, v double")
+
+    def made(f):
+        return sorted((t["grid_id"], t["y"], t["x"], "" if t["v"] is None else f"{t['v']:.9g}") for t in f().collect())
+
+    ways = [lambda: nb.tile_equalize(grid), lambda: nb.feature_map(grid, "gradient"), lambda: nb.feature_map(grid, "dial")]
+    plan = ways[0]()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    small = [made(f) for f in ways]
+    monkeypatch.setattr(nb, "within_tile", lambda grid: False)
+    assert small == [made(f) for f in ways]
