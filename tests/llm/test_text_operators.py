@@ -426,6 +426,27 @@ def test_pieces_of_long_texts(spark, monkeypatch):
     assert got == sorted(((k, *r) for (k, _), r in zip(rows, brute_strip([data(t) for _, t in rows], 100))), key=repr)
 
 
+def test_small_slices_compare_alike(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "TEXTS", 1)
+    monkeypatch.setattr(repeats, "PHRASES", 2)
+    text = prose(900, 8)
+    rows = [(k, text[97 * k : 97 * k + 1200 + 50 * (k % 7)]) for k in range(30)]
+    got = rows_of(repeats.strip_repeats(spark.createDataFrame(rows, DOCS), 100, 40), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    assert got == sorted(((k, *r) for (k, _), r in zip(rows, brute_strip([data(t) for _, t in rows], 100))), key=repr)
+
+
+def test_likely_misses_no_key_and_needs_no_python(spark):
+    rows = spark.range(20_000).select("id", F.xxhash64("id").alias("h"), F.lit("x").alias("a.b"))
+    keys = spark.range(0, 20_000, 7).select(F.xxhash64("id").alias("k")).union(spark.createDataFrame([(-1,), (0,)], "k long"))
+    some, none = common.likely(rows, keys.withColumnRenamed("k", "h"), "h")
+    yes, no = ([r.id for r in x.collect()] for x in (some, none))
+    assert some.columns == rows.columns and sorted(yes + no) == list(range(20_000))
+    assert set(range(0, 20_000, 7)) <= set(yes) and len(yes) < 3_000
+    assert common.likely(rows, keys.limit(0).withColumnRenamed("k", "h"), "h")[0].isEmpty()
+    # Python workers beside those of the kernels took an executor beyond its memory
+    assert "Python" not in some._jdf.queryExecution().executedPlan().toString()
+
+
 # Decontamination
 
 
